@@ -10,6 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from axisloom.llm._io import read
 
 
+def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from axisloom.llm.bpe_codec import round_trip
+
+    return round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from axisloom.llm.token_store import read_store, write_store
+
+    return read_store(write_store(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from axisloom.llm.token_counts import token_counts
 
