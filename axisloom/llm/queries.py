@@ -28,6 +28,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from axisloom.llm.ngram_join import linked_documents
+
+    return linked_documents(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query, for the entry module."""
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
