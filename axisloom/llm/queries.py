@@ -10,12 +10,24 @@ from pyspark.sql import DataFrame, SparkSession
 from axisloom.llm._io import read
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from axisloom.llm.decontaminate import contaminated
+
+    return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from axisloom.llm.bpe_codec import round_trip
 
     return round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from axisloom.llm.line_dedup import drop_boilerplate
+
+    return drop_boilerplate(read(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from axisloom.llm.token_store import read_store, write_store
 
@@ -41,4 +53,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
-    return {}
+    from axisloom.llm import decontaminate, line_dedup
+
+    return {"op1_decontamination": decontaminate.ORACLE, "op6_line_dedup": line_dedup.ORACLE}
