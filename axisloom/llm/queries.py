@@ -46,6 +46,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from axisloom.llm.knn_join import top_k
+
+    return top_k(read(spark, sf_dir, "embeddings"))
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from axisloom.llm.ngram_join import linked_documents
 
@@ -59,6 +65,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
-    from axisloom.llm import decontaminate, line_dedup
+    from axisloom.llm import decontaminate, knn_join, line_dedup
 
-    return {"op1_decontamination": decontaminate.ORACLE, "op6_line_dedup": line_dedup.ORACLE}
+    return {"op1_decontamination": decontaminate.ORACLE, "op6_line_dedup": line_dedup.ORACLE, "op9_knn_join": knn_join.ORACLE}
