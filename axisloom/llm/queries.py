@@ -28,6 +28,12 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from axisloom.llm.secrets import secret_spans
+
+    return secret_spans(read(spark, sf_dir, "documents"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from axisloom.llm.line_dedup import drop_boilerplate
 
@@ -65,6 +71,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
-    from axisloom.llm import decontaminate, knn_join, line_dedup
+    from axisloom.llm import decontaminate, knn_join, line_dedup, secrets
 
-    return {"op1_decontamination": decontaminate.ORACLE, "op6_line_dedup": line_dedup.ORACLE, "op9_knn_join": knn_join.ORACLE}
+    return {"op1_decontamination": decontaminate.ORACLE, "op5_secret_spans": secrets.ORACLE, "op6_line_dedup": line_dedup.ORACLE, "op9_knn_join": knn_join.ORACLE}
