@@ -16,6 +16,13 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from axisloom.llm.lang_id import identify, train
+
+    docs = read(spark, sf_dir, "documents")
+    return identify(docs, train(docs))
+
+
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from axisloom.llm.html_main import extract
 
