@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from axisloom.llm._vocab import PieceMemo, library, memo, pack_u16
+from axisloom.llm._vocab import PieceMemo, byte_symbols, library, memo, pack_u16
 
 WINDOW = 32
 MEAN_BITS = 10
@@ -109,7 +109,7 @@ class ChunkCodec:
 
     def __init__(self, path: str):
         self.tok = library(path)
-        self.pieces: PieceMemo = memo(path, "u16", pack_u16)
+        self.pieces: PieceMemo = memo(path, pack_u16, fold=False)
         self.young: dict[bytes, Chunk] = {}
         self.old: dict[bytes, Chunk] = {}
         self.encoded = self.reused = self.repaired = self.widened = 0
@@ -205,9 +205,8 @@ class ChunkCodec:
 
 
 def _token_bytes(vocab: dict[str, int], size: int) -> list[bytes]:
-    """Bytes of each token: printable Latin-1 characters stand for themselves, the others follow from 256 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    shown = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(plain))}
+    """Bytes of each token."""
+    shown = {c: b for b, c in enumerate(byte_symbols())}
     out = [b""] * size
     for token, k in vocab.items():
         known = all(c in shown for c in token)

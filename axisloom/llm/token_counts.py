@@ -52,15 +52,12 @@ def _groups(texts: list[bytes | None], limit: int) -> Iterator[list[bytes]]:
 
 def count_texts(path: str, texts: list[bytes | None]) -> list[int]:
     """Token counts of UTF-8 texts; null counts as empty."""
-    table = memo(path, "length", len)
+    table = memo(path, len, fold=True)
     out: list[int] = []
     for group in _groups(texts, GROUP_BYTES):
-        for text in group:
-            total = 0
-            for part in segments(text):
-                words = part.split()
-                total += sum(map(table.lookup(set(words)).__getitem__, words))
-            out.append(total)
+        parts = [[part.split() for part in segments(text)] for text in group]
+        found = table.lookup({w for part in parts for words in part for w in words}).__getitem__
+        out += [sum(sum(map(found, words)) for words in part) for part in parts]
     return out
 
 

@@ -31,6 +31,7 @@ from axisloom.llm._vocab import memo, pack_u16
 BLOCK = 256
 PERCENTILE = 0.9
 SEGMENT_IDS = 1 << 17
+DOCS_AT_ONCE = 64
 MAGIC = b"PFOR"
 HEAD = struct.Struct("<4sHHIIII")
 
@@ -125,14 +126,11 @@ def read_segment(payload: bytes) -> tuple[list[int | None], np.ndarray, np.ndarr
 
 def encode_texts(path: str, texts: list[bytes | None], end_id: int | None) -> list[np.ndarray]:
     """Ids of UTF-8 texts, cut at ASCII white space as in token_counts; ``end_id`` closes each."""
-    words_of = memo(path, "u16", pack_u16)
+    words_of = memo(path, pack_u16, fold=True)
     tail = b"" if end_id is None else pack_u16([end_id])
-    out = []
-    for t in texts:
-        words = (t or b"").split()
-        found = words_of.lookup(set(words))
-        out.append(np.frombuffer(b"".join(map(found.__getitem__, words)) + tail, "<u2"))
-    return out
+    split = [(t or b"").split() for t in texts]
+    found = words_of.lookup(set().union(*split)).__getitem__
+    return [np.frombuffer(b"".join(map(found, words)) + tail, "<u2") for words in split]
 
 
 SEGMENTS = "shard int, seq int, base long, n_docs long, n_ids long, payload binary"
@@ -163,13 +161,15 @@ def write_store(docs: DataFrame, path: str, end_id: int | None = 1, id_col: str
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["shard", "seq", "base", "n_docs", "n_ids", "payload"])
 
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                (ids,) = encode_texts(path, [text], end_id)
-                keys.append(key)
-                parts.append(ids)
-                held += len(ids)
-                if held >= SEGMENT_IDS:
-                    yield close()
+            for at in range(0, batch.num_rows, DOCS_AT_ONCE):
+                few = batch.slice(at, DOCS_AT_ONCE)
+                coded = encode_texts(path, few.column(1).cast(pa.binary()).to_pylist(), end_id)
+                for key, ids in zip(few.column(0).to_pylist(), coded, strict=True):
+                    keys.append(key)
+                    parts.append(ids)
+                    held += len(ids)
+                    if held >= SEGMENT_IDS:
+                        yield close()
         if keys:
             yield close()
 
