@@ -164,6 +164,7 @@ LABELLED = (
     # menu entries and link lists
     (1, 1.0, 0, 0.0, 1, 1.0, 0, 1, 1, 0), (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 1, 0), (2, 1.0, 1, 1.0, 8, 0.0, 0, 1, 1, 0), (3, 1.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0),
     (1, 1.0, 1, 1.0, 40, 0.0, 0, 0, 0, 0), (6, 0.9, 5, 0.8, 7, 1.0, 0, 0, 0, 0), (12, 0.8, 10, 0.9, 9, 0.7, 0, 0, 0, 0), (25, 0.7, 30, 0.1, 12, 0.9, 0, 0, 0, 0),
+    (2, 1.0, 0, 0.0, 60, 0.0, 0, 0, 0, 0), (5, 1.0, 1, 1.0, 90, 0.0, 0, 0, 0, 0), (1, 1.0, 50, 0.0, 0, 0.0, 0, 0, 0, 0), (4, 1.0, 60, 0.0, 45, 0.0, 0, 0, 0, 0), (3, 0.8, 75, 0.0, 30, 0.0, 0, 0, 0, 0),
     # adverts, notices, forms, footers and comments inside furniture
     (7, 0.0, 2, 1.0, 9, 0.0, 0, 1, 1, 0), (14, 0.0, 60, 0.0, 0, 0.0, 0, 1, 1, 0), (30, 0.0, 80, 0.0, 25, 0.0, 1, 1, 1, 0), (55, 0.05, 20, 0.0, 35, 0.0, 0, 1, 1, 0),
     (5, 0.0, 40, 0.0, 3, 0.0, 1, 1, 1, 0), (90, 0.0, 4, 0.0, 70, 0.0, 1, 1, 1, 0), (18, 0.2, 3, 1.0, 2, 1.0, 0, 0, 1, 0), (45, 0.0, 50, 0.0, 0, 0.0, 0, 0, 1, 0),
@@ -181,6 +182,8 @@ LABELLED = (
     # the same on pages without such an element
     (45, 0.0, 8, 0.0, 60, 0.0, 0, 0, 0, 1), (80, 0.05, 40, 0.0, 50, 0.0, 0, 0, 0, 1), (25, 0.0, 3, 1.0, 45, 0.0, 0, 0, 0, 1), (16, 0.0, 40, 0.0, 50, 0.1, 0, 0, 0, 1),
     (8, 0.0, 2, 1.0, 45, 0.0, 0, 0, 0, 1), (5, 0.0, 60, 0.0, 70, 0.0, 0, 0, 0, 1), (30, 0.1, 25, 0.0, 4, 1.0, 0, 0, 0, 1), (22, 0.2, 45, 0.0, 30, 0.0, 0, 0, 0, 1),
+    (50, 0.0, 60, 0.0, 1, 1.0, 0, 0, 0, 1), (120, 0.0, 80, 0.0, 0, 0.0, 0, 0, 0, 1), (45, 0.0, 30, 0.0, 2, 1.0, 0, 0, 0, 1), (70, 0.02, 2, 1.0, 3, 0.0, 0, 0, 0, 1),
+    (35, 0.0, 90, 0.0, 6, 0.8, 0, 0, 0, 1), (60, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1), (90, 0.1, 55, 0.0, 12, 0.0, 0, 0, 0, 1), (28, 0.0, 40, 0.0, 8, 0.0, 0, 0, 0, 1),
     # short unlinked scraps away from long text
     (3, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0), (4, 0.0, 3, 0.0, 2, 1.0, 0, 0, 0, 0), (6, 0.0, 0, 0.0, 1, 1.0, 0, 0, 0, 0), (8, 0.0, 30, 0.0, 0, 0.0, 0, 0, 0, 0),
     (5, 0.0, 4, 0.0, 3, 0.0, 0, 0, 0, 0), (9, 0.2, 50, 0.0, 0, 0.0, 0, 0, 0, 0),

@@ -47,7 +47,8 @@ def _padded(rows: list[np.ndarray], width: int) -> np.ndarray:
 
 def _scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Integer inner products; beyond the exact range of doubles, Python integers held within 64 bits."""
-    bound = np.abs(q).sum(axis=1).max(initial=0) * np.abs(x).max(initial=0)
+    with np.errstate(over="ignore"):
+        bound = np.abs(q).sum(axis=1).max(initial=0) * np.abs(x).max(initial=0)
     if bound < EXACT:
         return (q @ x.T).astype(np.int64)
     whole = [[int(v) for v in r] for r in x]
@@ -83,8 +84,9 @@ def _pivots(vectors: DataFrame) -> np.ndarray:
 
 def necessary(p: np.ndarray, cells: dict[int, tuple[int, float, float]], k: int) -> list[tuple[int, int]]:
     """Pairs (cell of queries, cell of data) that can hold answers. cells: rows, radius, radius of the queries (below 0: none)."""
-    norms = np.sqrt((p * p).sum(axis=1))
-    dots = p @ p.T
+    with np.errstate(over="ignore", invalid="ignore"):
+        norms = np.sqrt((p * p).sum(axis=1))
+        dots = p @ p.T
     pairs = []
     for c, (_, _, rq) in cells.items():
         if rq < 0:
@@ -92,6 +94,9 @@ def necessary(p: np.ndarray, cells: dict[int, tuple[int, float, float]], k: int)
         bounds = []
         for g, (n, rx, _) in cells.items():
             slack = (rq * norms[g] + norms[c] * rx + rq * rx) * (1 + 1e-9) + 1e-6
+            if not np.isfinite(slack + dots[c, g]):  # beyond doubles nothing is known
+                bounds.append((-np.inf, np.inf, n - (g == c), g))
+                continue
             bounds.append((dots[c, g] - slack, dots[c, g] + slack, n - (g == c), g))
         sure, reach = 0, -np.inf
         for low, _, n, _ in sorted(bounds, reverse=True):
@@ -116,9 +121,11 @@ def _assigned(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
                     continue
                 width = max(pivots.shape[1], *(len(v) for _, v in rows))
                 x, p = _padded([v for _, v in rows], width), _padded(list(pivots), width)
-                d = np.maximum((x * x).sum(axis=1)[:, None] + (p * p).sum(axis=1)[None, :] - 2 * (x @ p.T), 0)
-                cell = d.argmin(axis=1)
-                away = np.sqrt(((x - p[cell]) ** 2).sum(axis=1))
+                with np.errstate(over="ignore", invalid="ignore"):
+                    d = (x * x).sum(axis=1)[:, None] + (p * p).sum(axis=1)[None, :] - 2 * (x @ p.T)
+                    cell = np.where(np.isnan(d), np.inf, d).argmin(axis=1)
+                    away = np.sqrt(((x - p[cell]) ** 2).sum(axis=1))
+                away = np.where(np.isnan(away), np.inf, away)
                 cols = [pa.array([i for i, _ in rows], pa.int64()), pa.array(cell, pa.int32()), pa.array(away), pa.array([len(v) for _, v in rows], pa.int32()), pa.array([v.tobytes() for _, v in rows], pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, names=["id", "cell", "away", "size", "v"])
 
