@@ -89,10 +89,13 @@ def _python(node: Node, types: list[str], names: list[str], ranks: Mapping[str,
         result = node(**args)
         return tuple(_out(node.pick(result, o)) for o in outs)
 
-    def run(*series: pd.Series) -> pd.DataFrame:
+    def run(skip: pd.Series, *series: pd.Series) -> pd.DataFrame:
         rows = []
-        for cells in zip(*series, strict=True):  # a node without arrays gets one dummy cell
-            args = {**plain, **{n: _arg(c, ranks.get(n, 0)) for n, c in zip(names, cells, strict=False)}}
+        for skipped, *cells in zip(skip, *series, strict=True):
+            if skipped:  # its inputs hold errors, so the body isn't called
+                rows.append((None,) * len(fields))
+                continue
+            args = {**plain, **{n: _arg(c, ranks.get(n, 0)) for n, c in zip(names, cells, strict=True)}}
             if keep_errors:
                 try:
                     rows.append((*one(args), None, None))
@@ -180,19 +183,15 @@ def compile_node(spark: Any, node: Node, values: Mapping[str, Any], *, keep_erro
             if created:
                 types = [_nested(t, len(created)) for t in types]
             run = _python(node, types, names, ranks, plain, keep_errors)
-            held = run(*[column(p) for p in names] or [F.lit(0)])
+            held = run(F.lit(False) if bad is None else bad.isNotNull(), *[column(p) for p in names])
         else:
             result = node(**args)
             outs = [result] if len(node.out) == 1 else [node.pick(result, o) for o in node.out]
             held = F.struct(*[(c if isinstance(c, Column) else _literal(c)).alias(f"o{k}") for k, c in enumerate(outs)])
         axes = [column(a) for a in kept]
-        if bad is not None:
-            # rows with errors don't reach the body
-            df = df.withColumn("_bad", bad)
-            schema = df.filter("_bad IS NULL").select(*axes, held.alias("_s"))
-            ok = schema.withColumn("_bad", F.lit(None).cast(ERROR))
-            no = df.filter("_bad IS NOT NULL").select(*axes, F.lit(None).cast(schema.schema["_s"].dataType).alias("_s"), "_bad")
-            df = ok.unionByName(no)
+        if bad is not None:  # CASE keeps native bodies off rows with errors
+            held = held if node.kind == "python" else F.when(bad.isNull(), held)
+            df = df.select(*axes, held.alias("_s"), bad.alias("_bad"))
         else:
             df = df.select(*axes, held.alias("_s"))
 

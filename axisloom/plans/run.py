@@ -107,6 +107,7 @@ def run_map(
     fixed: Mapping[str, int | slice] | None = None,
     errors: str = "raise",
     folder: str | None = None,
+    storage: str | Mapping[str, str] = "parquet",
     resume: bool = False,
     validation: str = "auto",
     cut: bool = False,
@@ -118,7 +119,7 @@ def run_map(
     Without ``folder`` the result is lazy: one plan for each output, and nothing runs before it is
     read. With it every node is written as Parquet, and ``resume`` computes only cells that are
     not there yet. ``outputs`` prunes the flow, ``cut`` lets inputs stand for intermediates,
-    ``fixed`` selects indices, and ``errors="continue"`` keeps failures of Python bodies as data.
+    ``fixed`` selects indices, ``storage`` names the storage kind of all or of each output, and ``errors="continue"`` keeps failures of Python bodies as data.
     """
     if errors not in ("raise", "continue"):
         raise ValueError(f"errors can't be {errors!r}")
@@ -134,8 +135,11 @@ def run_map(
     check_fixed(flow, fixed, values)
     run = None
     if folder is not None:
-        run = RunFolder(spark, folder)
+        run = RunFolder(spark, folder, storage)
         run.open(flow, {**flow.defaults(), **given}, errors=errors, resume=resume, validation=validation)
+        for name, v in values.items():
+            if isinstance(v, AxisFrame) and v.axes and isinstance(given.get(name), (list, range, np.ndarray)):
+                run.write_input(v)
     selected = {k: v.at(**{a: i for a, i in fixed.items() if a in v.axes}) if isinstance(v, AxisFrame) and set(fixed) & set(v.axes) else v for k, v in values.items()}
     takers: dict[str, int] = {}
     for n in flow.nodes:

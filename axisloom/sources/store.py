@@ -6,7 +6,7 @@ import hashlib
 import inspect
 import json
 import time
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,12 +14,32 @@ from pyspark.sql import functions as F
 
 from axisloom.functions.node import Node
 from axisloom.operators.frame import AxisFrame, space
-from axisloom.plans.spec import UNKNOWN
+from axisloom.plans.spec import UNKNOWN, IndexSpec
 
 MANIFEST = "manifest.json"
 VERSION = 1
 
 
+#: Storage kinds: how a frame is written to a folder and read back with its schema.
+STORAGES: dict[str, tuple[Callable[[DataFrame, str, str], None], Callable[[SparkSession, str, str], DataFrame]]] = {}
+
+
+def register_storage(kind: str, write: Callable[[DataFrame, str, str], None], read: Callable[[SparkSession, str, str], DataFrame]) -> None:
+    """Add or replace a storage kind: ``write(df, path, mode)`` and ``read(spark, path, schema)``."""
+    STORAGES[kind] = write, read
+
+
+def storage(kind: str) -> tuple:
+    """The functions of a storage kind."""
+    if kind not in STORAGES:
+        raise ValueError(f"there is no storage {kind!r}; there are {sorted(STORAGES)}")
+    return STORAGES[kind]
+
+
+for _format in ("parquet", "orc"):
+    register_storage(_format, lambda df, path, mode, f=_format: df.write.format(f).mode(mode).save(path), lambda spark, path, schema, f=_format: spark.read.format(f).schema(schema).load(path))
+
+
 class ResumeError(ValueError):
     """A run folder holds another run than the one that would resume it."""
 
@@ -47,8 +67,12 @@ def body_digest(n: Node) -> str:
 class RunFolder:
     """A folder that Spark reaches, on whatever file system."""
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
+    def __init__(self, spark: SparkSession, path: str, kinds: str | Mapping[str, str] = "parquet") -> None:
+        """``kinds`` names the storage of all outputs, or of each, with ``""`` for the others."""
         self.spark, self.path = spark, path.rstrip("/")
+        self.kinds = {"": kinds} if isinstance(kinds, str) else {"": "parquet", **kinds}
+        for kind in self.kinds.values():
+            storage(kind)
         self.manifest: dict[str, Any] = {}
 
     # files through Hadoop, so that any store works
@@ -145,7 +169,7 @@ class RunFolder:
         meta = self.manifest["outputs"].get(name)
         if meta is None or not self._exists(self.table(name)):
             return None
-        df = self.spark.read.schema(meta["schema"]).parquet(self.table(name))
+        df = storage(meta["kind"])[1](self.spark, self.table(name), meta["schema"])
         return AxisFrame(df, name, tuple(meta["axes"]), dict(meta["sizes"]), meta["sparse"], meta["error"])
 
     def only_missing(self, n: Node, args: dict[str, Any]) -> dict[str, Any]:
@@ -174,12 +198,14 @@ class RunFolder:
         out = {}
         for o, f in made.items():
             before = self.stored(o)
+            kind = self.kinds.get(o, self.kinds[""]) if before is None else self.manifest["outputs"][o]["kind"]
+            put = storage(kind)[0]
             if before is not None and n.spec is not None and n.spec.mapped and not n.spec.created:
                 new = f.df.join(before.df.select(*f.axes), list(f.axes), "left_anti") if f.axes else f.df
-                new.write.mode("append").parquet(self.table(o))
+                put(new, self.table(o), "append")
             else:
-                f.df.write.mode("overwrite").parquet(self.table(o))
-            self.manifest["outputs"][o] = {"axes": list(f.axes), "sizes": dict(f.sizes), "sparse": f.sparse, "error": f.error, "schema": _ddl(f.df)}
+                put(f.df, self.table(o), "overwrite")
+            self.manifest["outputs"][o] = {"kind": kind, "axes": list(f.axes), "sizes": dict(f.sizes), "sparse": f.sparse, "error": f.error, "schema": _ddl(f.df)}
             self._save()
             out[o] = self.stored(o)
         return out
@@ -194,6 +220,28 @@ class RunFolder:
             raise KeyError(f"not stored: {[o for o, f in zip(names, found, strict=True) if f is None]}")
         return found[0] if len(names) == 1 else found
 
+    def write_input(self, f: AxisFrame) -> None:
+        """Keep an input that was given as plain values, so that tables can be labelled with it."""
+        f.df.write.mode("overwrite").parquet(f"{self.path}/inputs/{f.name}")
+        self.manifest.setdefault("arrays", {})[f.name] = {"axes": list(f.axes), "sizes": dict(f.sizes), "schema": _ddl(f.df)}
+        self._save()
+
+    def inputs(self) -> dict[str, AxisFrame]:
+        """Inputs that were kept."""
+        return {n: AxisFrame(self.spark.read.schema(m["schema"]).parquet(f"{self.path}/inputs/{n}"), n, tuple(m["axes"]), dict(m["sizes"])) for n, m in self.load().get("arrays", {}).items()}
+
+    def to_table(self, *names: str) -> DataFrame:
+        """Stored outputs, by default all, as one labelled table."""
+        from axisloom.operators.table import assemble
+
+        frames = {**self.inputs(), **self.outputs()}
+        return assemble(frames, names or list(self.manifest["outputs"]), [IndexSpec.parse(t) for t in self.manifest["specs"]])
+
+    def to_json(self, *names: str) -> dict[str, list[str]]:
+        """Stored outputs as JSON rows, on the driver; meant for small ones."""
+        found = self.outputs()
+        return {n: [r[0] for r in found[n].df.selectExpr("to_json(struct(*))").collect()] for n in names or found}
+
     def missing(self, name: str) -> DataFrame:
         """Indices of an output's full space without a cell."""
         f = self.outputs(name)
