@@ -149,17 +149,26 @@ class Flow:
         """Every set of names from which an output can be computed."""
         makers = self.makers()
         found: set[tuple[str, ...]] = set()
+        tried: set[frozenset[str]] = set()
 
-        def expand(names: frozenset[str]) -> None:
-            key = tuple(sorted(names))
-            if key in found:
+        def given(computed: frozenset[str]) -> None:
+            """What has to be given when these outputs are computed and no others."""
+            if computed in tried:
                 return
-            found.add(key)
-            for n in names:
-                if n in makers:
-                    expand(names - set(makers[n].out) | set(makers[n].free))
-
-        expand(frozenset(self.node(out).free))
+            tried.add(computed)
+            needed, seen, stack = set(), set(), list(self.node(out).free)
+            while stack:
+                p = stack.pop()
+                if p in computed and p not in seen:
+                    seen.add(p)
+                    stack += makers[p].free
+                elif p not in computed:
+                    needed.add(p)
+            found.add(tuple(sorted(needed)))
+            for p in needed & set(makers):
+                given(computed | set(makers[p].out))
+
+        given(frozenset())
         return sorted(found, key=lambda k: (len(k), k))
 
     def parts(self) -> list[list[Node]]:
