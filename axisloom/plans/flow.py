@@ -516,6 +516,17 @@ class Flow:
 
         return run_map(self, spark, inputs, **options)
 
+    def input_schema(self) -> dict[str, str]:
+        """Spark types of the inputs by their annotations, nested in arrays once for each axis; others are left out."""
+        plain = {int: "bigint", float: "double", str: "string", bool: "boolean", bytes: "binary"}
+        axes, out = self.axes(), {}
+        for name, hint in self.input_hints().items():
+            if hint in plain:
+                out[name] = plain[hint]
+                for _ in axes.get(name, ()):
+                    out[name] = f"array<{out[name]}>"
+        return out
+
     # telling
 
     def info(self) -> dict[str, tuple[str, ...]]:

@@ -142,6 +142,8 @@ def test_types():
     def h(y: Array[int]) -> int:
         return 0
 
+    assert Flow([Node(f, "y", spec="x[i, j] -> y[i, j]")]).input_schema() == {"x": "array<array<bigint>>"}
+    assert Flow([Node(f, "y")]).output_hints() == {"y": int} and Flow([Node(g, "z")]).input_hints() == {"y": str}
     with pytest.raises(TypeError):
         Flow([Node(f, "y"), Node(g, "z")])
     Flow([Node(f, "y", spec="x[i] -> y[i]"), Node(h, "z", kind="python", returns="int")])
