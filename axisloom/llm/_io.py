@@ -23,18 +23,16 @@ def table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._shared_path = path
+    return back
 
 
 def drop_table(df: DataFrame) -> None:
-    """Delete a table made by :func:`table` once nothing reads it any more."""
+    """Delete what :func:`table` wrote for ``df``, once nothing reads it any more."""
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if folder.startswith(("file:", "hdfs:", "s3", "gs:", "abfs", "viewfs:")) and "-" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._shared_path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
