@@ -12,7 +12,7 @@ class _WordHashes(dict):
     """Word to its 64-bit hash; emptied when large, so memory stays bounded."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = found = xxhash.xxh3_64_intdigest(word)
         return found

@@ -11,9 +11,11 @@ is at least the threshold. Identical sets first become one class, held by its sm
   documents of long lists are joined once more among themselves in the new order. Any order is
   exact, and every pair sharing a long list lies within those documents, so nothing is lost.
 
-Lists are not expanded into all pairs. Each list first checks its members against one of them;
-links become components, and only pairs of one list that lie in different components and can
-still be similar are checked after that. Every check is exact, over the whole texts.
+Lists are not expanded into all pairs. Each list first checks its members against one of them, its
+hub; links become components. Of a short list, pairs that lie in different components and can
+still be similar are checked then. Long lists that still hold several components are put together
+by hub and compared in pairs of blocks of bounded size, which give one link for each two
+components. Every check is exact, over the whole texts.
 """
 
 from __future__ import annotations
@@ -40,6 +42,10 @@ DEMOTED_MOST = 200_000
 SMALL_MOST = 14
 #: What scanning one list entry costs, against making one subset key.
 LIST_COST = 3.0
+#: Documents and shingles of a block, and columns of a matrix, where long lists are checked.
+BLOCK_DOCS = 500
+BLOCK_SHINGLES = 1_000_000
+MATRIX_COLUMNS = 2048
 
 
 def need(n: int, m: int, percent: int) -> int:
@@ -85,8 +91,11 @@ def _ordered(hashes: np.ndarray, demoted: np.ndarray) -> np.ndarray:
     return np.concatenate([hashes[~late], hashes[late]])
 
 
-def _keys(hashes: np.ndarray, most: int, percent: int, demoted: np.ndarray) -> tuple[np.ndarray, int]:
-    """Join keys of a set, and how many of them are listed shingles."""
+def _keys(hashes: np.ndarray, most: int, percent: int, demoted: np.ndarray) -> tuple[np.ndarray, int, int, int]:
+    """Join keys of a set, how many of them are listed shingles, and the rank of the last listed one.
+
+    The rank is whether the shingle is demoted, then its hash shifted to a signed number.
+    """
     n = len(hashes)
     listed = np.zeros(0, np.uint64)
     if n > most or 100 * n // percent > most:
@@ -95,7 +104,15 @@ def _keys(hashes: np.ndarray, most: int, percent: int, demoted: np.ndarray) -> t
     if n <= most:
         for c in subset_sizes(n, most, percent):
             subsets += [xxhash.xxh3_64_intdigest(np.array(s, np.uint64).tobytes(), seed=c) for s in combinations(hashes.tolist(), c)]
-    return np.concatenate([listed, np.array(subsets, np.uint64)]), len(listed) if n > most else 0
+    keys = np.concatenate([listed, np.array(subsets, np.uint64)])
+    if n <= most or not len(listed):
+        return keys, 0, 0, -(1 << 63)
+    at = np.searchsorted(demoted, listed[-1])
+    late = at < len(demoted) and demoted[at] == listed[-1]
+    return keys, len(listed), int(late), int(listed[-1]) - (1 << 63)
+
+
+SIGNED = "id long, n int, hi long, lo long, keys array<long>, listed int, late int, last long"
 
 
 def _signed(slim: DataFrame, k: int, percent: int, most: int, demoted: np.ndarray) -> DataFrame:
@@ -103,20 +120,17 @@ def _signed(slim: DataFrame, k: int, percent: int, most: int, demoted: np.ndarra
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
             for at in range(0, batch.num_rows, 512):
-                n, hi, lo, keys, listed = [], [], [], [], []
+                rows = []
                 for t in texts.slice(at, 512):
                     s = shingle_hashes(t.as_py(), k)
                     d = xxhash.xxh3_128_intdigest(s.tobytes())
-                    n.append(len(s))
-                    hi.append((d >> 64) - (1 << 63))
-                    lo.append((d & ((1 << 64) - 1)) - (1 << 63))
-                    ks, p = _keys(s, most, percent, demoted)
-                    keys.append(ks.view(np.int64))
-                    listed.append(p)
-                cols = [batch.column(0).slice(at, 512), pa.array(n, pa.int32()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(listed, pa.int32())]
-                yield pa.RecordBatch.from_arrays(cols, names=["id", "n", "hi", "lo", "keys", "listed"])
+                    keys, *rest = _keys(s, most, percent, demoted)
+                    rows.append((len(s), (d >> 64) - (1 << 63), (d & ((1 << 64) - 1)) - (1 << 63), keys.view(np.int64), *rest))
+                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.int64())
+                cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 512), *cols], names=["id", "n", "hi", "lo", "keys", "listed", "late", "last"])
 
-    return slim.mapInArrow(run, "id long, n int, hi long, lo long, keys array<long>, listed int")
+    return slim.mapInArrow(run, SIGNED)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -158,55 +172,99 @@ def _histogram(slim: DataFrame) -> dict[int, int]:
 
 
 def _entries(signed: DataFrame) -> DataFrame:
-    """Members of every list of two or more: key, ``length``, id, n, ``own`` (listed shingles that no other document lists)."""
-    rows = signed.select(F.explode("keys").alias("key"), "id", "n", "listed")
+    """Members of every list of two or more, with ``length``, and ``own``: listed shingles that no other document lists."""
+    rows = signed.select(F.explode("keys").alias("key"), "id", "n", "listed", "late", "last")
     shared = table(rows.withColumn("length", F.count("*").over(Window.partitionBy("key"))).filter("length > 1"), "entries")
     met = shared.groupBy("id").agg(F.count("*").alias("met"))
-    return shared.join(met, "id").select("key", "length", "id", "n", F.greatest(F.lit(0), F.col("listed") - F.col("met")).cast("int").alias("own"))
+    own = F.greatest(F.lit(0), F.col("listed") - F.col("met")).cast("int").alias("own")
+    return shared.join(met, "id").select("key", "length", "id", "n", own, "late", "last")
 
 
 def _possible(x: str, y: str, percent: int):
-    """Whether two members of a list can be similar, by their sizes and the listed shingles that nobody shares."""
-    o = F.least(F.col(f"{x}.n") - F.col(f"{x}.own"), F.col(f"{y}.n") - F.col(f"{y}.own"))
-    return F.lit(100) * o >= F.lit(percent) * (F.col(f"{x}.n") + F.col(f"{y}.n") - o)
+    """Whether two members of a list can be similar.
+
+    Of the two, take the one whose listed shingles end first: the other lists all of its own
+    shingles up to there, so it has none of those that the first alone lists.
+    """
+    c = lambda side, name: F.col(f"{side}.{name}")
+    first = (c(x, "late") < c(y, "late")) | ((c(x, "late") == c(y, "late")) & (c(x, "last") <= c(y, "last")))
+    o = F.least(F.when(first, c(x, "n") - c(x, "own")).otherwise(c(y, "n") - c(y, "own")), c(x, "n"), c(y, "n"))
+    return F.lit(100) * o >= F.lit(percent) * (c(x, "n") + c(y, "n") - o)
 
 
-def _star(members: DataFrame, percent: int) -> DataFrame:
-    """Each list's member with the fewest shingles of its own, against its other members."""
-    hub = members.groupBy("list").agg(F.min(F.struct("own", "n", "id")).alias("hub"))
-    x = members.join(hub, "list").withColumn("me", F.struct("own", "n", "id"))
-    return x.filter((F.col("id") != F.col("hub.id")) & _possible("me", "hub", percent)).select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
+MEMBER = ("own", "n", "id", "late", "last")
 
 
-def _split(members: DataFrame, links: DataFrame) -> DataFrame:
+def _open(members: DataFrame, links: DataFrame) -> DataFrame:
     """Members of those lists that still hold several components, with their component."""
     roots = components(links)
-    placed = members.join(roots, members.id == roots.node, "left").select("list", "length", "id", "n", "own", F.coalesce("root", "id").alias("root"))
-    open_lists = placed.groupBy("list").agg(F.min("root").alias("one"), F.max("root").alias("other")).filter("one <> other").select("list")
-    return table(placed.join(open_lists, "list", "left_semi"), "open-lists")
+    placed = members.join(roots, members.id == roots.node, "left").select("list", "length", *MEMBER, F.coalesce("root", "id").alias("root"))
+    several = placed.groupBy("list").agg(F.min("root").alias("one"), F.max("root").alias("other")).filter("one <> other").select("list")
+    return table(placed.join(several, "list", "left_semi"), "open-lists")
 
 
 def _links(members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Links enough to connect whatever all links connect."""
-    checked = table(_star(members, percent), "pairs")
+    hubs = table(members.groupBy("list").agg(F.min(F.struct(*MEMBER)).alias("hub")), "hubs")
+    star = members.join(hubs, "list").withColumn("me", F.struct(*MEMBER)).filter((F.col("id") != F.col("hub.id")) & _possible("me", "hub", percent))
+    checked = table(star.select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     links = table(_verified(checked, texts, k, percent), "links")
-    left = _split(members, links)
-
-    # long lists once more, from the best member outside the first one's component
-    long = left.filter(F.col("length") >= LONG_LIST)
-    first = long.groupBy("list").agg(F.min_by("root", F.struct("own", "n", "id")).alias("first"))
-    second = _star(long.join(first, "list").filter("root <> first"), percent)
-    second = table(second.join(checked, ["a", "b"], "left_anti"), "pairs")
-    links = table(links.unionByName(_verified(second, texts, k, percent)), "links")
-    checked = checked.unionByName(second)
-
-    left = _split(left.drop("root"), links)
-    x, y = left.alias("x"), left.alias("y")
+
+    left = _open(members, links)
+    short = left.filter(F.col("length") < LONG_LIST)
+    x, y = short.alias("x"), short.alias("y")
     apart = (F.col("x.list") == F.col("y.list")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root"))
     rest = x.join(y, apart & _possible("x", "y", percent)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     done = checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = table(rest.join(done, ["a", "b"], "left_anti"), "pairs")
-    return links.unionByName(_verified(rest, texts, k, percent))
+    links = links.unionByName(_verified(rest, texts, k, percent))
+
+    # long lists with the same hub hold much the same documents: each such group is checked once, in blocks
+    long = left.filter(F.col("length") >= LONG_LIST).join(hubs, "list").select(F.col("hub.id").alias("hub"), "id", "n", "root").distinct()
+    return links.unionByName(_block_links(table(long, "groups"), texts, k, percent))
+
+
+def _block_links(groups: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links between the components of each group, one for each two components of a pair of blocks."""
+    parts = F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    sized = groups.groupBy("hub").agg(parts.alias("parts"))
+    dealt = groups.join(sized, "hub").withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    copies = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    paired = copies.select("hub", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "id", "root")
+
+    def run(t: pa.Table) -> pa.Table:
+        ids, roots, blocks = (t[c].to_numpy() for c in ("id", "root", "block"))
+        a, b = component_links([shingle_hashes(x.as_py(), k) for x in t["text"].combine_chunks().cast(pa.binary())], roots, blocks, t["b1"][0].as_py() != t["b2"][0].as_py(), percent)
+        return pa.table({"a": pa.array(ids[a], pa.int64()), "b": pa.array(ids[b], pa.int64())})
+
+    return paired.join(texts, "id").groupBy("hub", "b1", "b2").applyInArrow(run, "a long, b long")
+
+
+def component_links(sets: list[np.ndarray], roots: np.ndarray, blocks: np.ndarray, across: bool, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of linked sets of different roots, one link for each two roots; ``across`` compares different blocks only.
+
+    Overlaps are counted as products of 0/1 matrices over the shingles that several sets have.
+    """
+    n = np.array([len(s) for s in sets])
+    values, of = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), n)
+    common = np.flatnonzero(np.bincount(of, minlength=len(values)) > 1)
+    column = np.full(len(values), -1)
+    column[common] = np.arange(len(common))
+    col = column[of]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for low in range(0, len(common), MATRIX_COLUMNS):
+        here = (col >= low) & (col < low + MATRIX_COLUMNS)
+        m = np.zeros((len(sets), min(MATRIX_COLUMNS, len(common) - low)), np.float32)
+        m[owner[here], col[here] - low] = 1
+        both += m @ m.T
+    linked = 100 * both >= percent * (n[:, None] + n[None, :] - both)
+    linked &= (roots[:, None] < roots[None, :]) & (both > 0)
+    if across:
+        linked &= blocks[:, None] != blocks[None, :]
+    a, b = np.nonzero(linked)
+    _, once = np.unique(np.stack([roots[a], roots[b]]), axis=1, return_index=True)
+    return a[once], b[once]
 
 
 def linked_documents(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,4 +1,5 @@
 import collections
+import itertools
 import random
 
 import numpy as np
@@ -30,7 +31,8 @@ def corpus(seed, n=120):
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_ngram_join_matches_brute_force(spark, seed, monkeypatch):
-    monkeypatch.setattr(ngram_join, "LONG_LIST", 6)  # so that long lists and later levels are used
+    monkeypatch.setattr(ngram_join, "LONG_LIST", 6)  # so that long lists, later levels and several blocks are used
+    monkeypatch.setattr(ngram_join, "BLOCK_DOCS", 7)
     rows = [*corpus(seed), (500, None), (501, ""), (502, "  \n"), (None, "some text with no id at all"), (503, "A b"), (504, "a B"), (503, "A b")]
     docs = spark.createDataFrame([(d, t, "n", 1) for d, t in rows], "doc_id bigint, text string, n string, rep int")
     got = ngram_join.linked_documents(docs).collect()
@@ -56,6 +58,22 @@ def test_small_sets_share_a_subset():
                 assert set(ngram_join._keys(sa, most, 80, none)[0].tolist()) & set(ngram_join._keys(sb, most, 80, none)[0].tolist())
 
 
+def test_block_links_join_all_linked_components():
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**62, 60).astype(np.uint64)
+    sets = [np.unique(np.where(rng.random(60) < 0.08, rng.integers(0, 2**62, 60).astype(np.uint64), base)) for _ in range(80)]
+    sets += [np.unique(rng.integers(0, 2**62, 30).astype(np.uint64)) for _ in range(5)]
+    roots, blocks = np.arange(85) // 2, np.arange(85) % 2
+    for across in (False, True):
+        a, b = ngram_join.component_links(sets, roots, blocks, across, 80)
+        want = set()
+        for i, j in itertools.combinations(range(85), 2):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if roots[i] != roots[j] and (not across or blocks[i] != blocks[j]) and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                want.add((roots[i], roots[j]))
+        assert {(roots[i], roots[j]) for i, j in zip(a, b, strict=True)} == want and len(a) == len(want) > 10
+
+
 def test_boundary_follows_cost():
     assert ngram_join.small_boundary({4: 1000}, 100.0, 80) >= 4
     assert ngram_join.small_boundary({14: 1000}, 0.001, 80) < 14
