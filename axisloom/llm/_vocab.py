@@ -70,7 +70,7 @@ class PieceMemo:
     tokenizer lower-cases. Every other new piece goes through the whole library.
     """
 
-    def __init__(self, path: str, pack: Callable[[list[int]], object], fold: bool, capacity: int = 400_000):
+    def __init__(self, path: str, pack: Callable[[list[int]], object], fold: bool, capacity: int):
         self.tok, self.pack, self.fold, self.capacity = library(path), pack, fold, capacity
         self.model = self.tok.model
         self.symbols = str.maketrans(dict(enumerate(byte_symbols())))
@@ -124,11 +124,11 @@ class PieceMemo:
         return young
 
 
-def memo(path: str, pack: Callable[[list[int]], object], fold: bool) -> PieceMemo:
+def memo(path: str, pack: Callable[[list[int]], object], fold: bool, capacity: int = 400_000) -> PieceMemo:
     """The worker's memo for a tokenizer and a way of packing."""
     key = (path, pack.__name__)
     if key not in _LOADED:
-        _LOADED[key] = PieceMemo(path, pack, fold)
+        _LOADED[key] = PieceMemo(path, pack, fold, capacity)
     return _LOADED[key]
 
 

@@ -30,9 +30,11 @@ WINDOW = 32
 MEAN_BITS = 10
 SHORTEST = 384
 LONGEST = 8192
-CHUNKS_KEPT = 12_000
+CHUNKS_KEPT = 8_000
+PIECES_KEPT = 150_000
 SEGMENT = 1 << 20
 GROUP_BYTES = 4 << 20
+GROUP_ROWS = 512
 
 #: ASCII white space, and the other characters that some pattern may take for white space.
 PIECE = re.compile(rb"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
@@ -109,7 +111,7 @@ class ChunkCodec:
 
     def __init__(self, path: str):
         self.tok = library(path)
-        self.pieces: PieceMemo = memo(path, pack_u16, fold=False)
+        self.pieces: PieceMemo = memo(path, pack_u16, fold=False, capacity=PIECES_KEPT)
         self.young: dict[bytes, Chunk] = {}
         self.old: dict[bytes, Chunk] = {}
         self.encoded = self.reused = self.repaired = self.widened = 0
@@ -225,15 +227,16 @@ def codec(path: str) -> ChunkCodec:
 
 
 def _batches(column: pa.Array) -> Iterator[list[bytes | None]]:
-    group: list[bytes | None] = []
-    held = 0
-    for t in column.cast(pa.binary()).to_pylist():
-        if group and held + len(t or b"") > GROUP_BYTES:
-            yield group
-            group, held = [], 0
-        group.append(t)
-        held += len(t or b"")
-    if group:
+    """Texts in groups of some rows and about ``GROUP_BYTES``; few of a batch are Python objects at a time."""
+    for at in range(0, len(column), GROUP_ROWS):
+        group: list[bytes | None] = []
+        held = 0
+        for t in column.slice(at, GROUP_ROWS).cast(pa.binary()).to_pylist():
+            if group and held + len(t or b"") > GROUP_BYTES:
+                yield group
+                group, held = [], 0
+            group.append(t)
+            held += len(t or b"")
         yield group
 
 
