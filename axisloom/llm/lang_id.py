@@ -74,8 +74,7 @@ def features(text: str | None) -> np.ndarray | None:
 
 
 def train_machine(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, rounds: int = 300) -> np.ndarray:
-    """Weights (last one the bias) of a linear machine with squared hinge loss, classes weighted alike; y is +-1."""
-    x = np.hstack([x, np.ones((len(x), 1))])
+    """Weights of a linear machine with squared hinge loss, classes weighted alike; x ends in a column of ones, y is +-1."""
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
     step = 1.0 / (4.0 + penalty)  # rows have length sqrt(2), so the gradient's slope is at most 4
     w = z = np.zeros(x.shape[1])
@@ -140,7 +139,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_
     """Fit the model on rows that aren't held out and have a label.
 
     ``per_language`` bounds the sample of each label. One row of counts for each label and the
-    sample's features (16 KB a row) come to the driver. Texts without letters are passed over. Without labelled rows the model
+    sample's features (8 KB a row) come to the driver. Texts without letters are passed over. Without labelled rows the model
     predicts ``und`` for everything.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
@@ -158,19 +157,21 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["lang", "place", "x"])
 
     rows = sample.select("lang", "place", "text").mapInArrow(run, "lang string, place long, x binary").orderBy("lang", "place").collect()
-    held: dict[str, list[np.ndarray]] = {}
+    held: dict[str, list[bytes]] = {}
     for r in rows:
         if len(held.setdefault(r["lang"], [])) < per_language:
-            held[r["lang"]].append(np.frombuffer(r["x"], np.float32))
-    by_lang = {k: np.array(v, np.float64) for k, v in held.items()}
+            held[r["lang"]].append(r["x"])
+    del rows
     languages: dict[str, list[str]] = {}
-    for lang in sorted(by_lang):
+    for lang in sorted(held):
         languages.setdefault(FAMILY.get(lang, lang), []).append(lang)
     families = sorted(languages)
-    x = np.vstack([by_lang[k] for f in families for k in languages[f]]) if families else np.zeros((0, DIMENSIONS))
-    of = np.repeat(range(len(families)), [sum(len(by_lang[k]) for k in languages[f]) for f in families])
-    weights = np.array([train_machine(x, np.where(of == f, 1.0, -1.0)) if len(families) > 1 else np.zeros(DIMENSIONS + 1) for f in range(len(families))]).reshape(-1, DIMENSIONS + 1)
-    pairs = {f: [(a, b, train_machine(np.vstack([by_lang[a], by_lang[b]]), np.repeat([1.0, -1.0], [len(by_lang[a]), len(by_lang[b])]))) for a, b in combinations(languages[f], 2)] for f in families}
+    order = [lang for f in families for lang in languages[f]]
+    of = np.repeat(np.array(order), [len(held[k]) for k in order]) if order else np.zeros(0, str)
+    x = np.ones((len(of), DIMENSIONS + 1))
+    x[:, :-1] = np.frombuffer(b"".join(v for k in order for v in held.pop(k)), np.float32).reshape(-1, DIMENSIONS)
+    weights = np.array([train_machine(x, np.where(np.isin(of, languages[f]), 1.0, -1.0)) if len(families) > 1 else np.zeros(DIMENSIONS + 1) for f in families]).reshape(-1, DIMENSIONS + 1)
+    pairs = {f: [(a, b, train_machine(x[(of == a) | (of == b)], np.where(of[(of == a) | (of == b)] == a, 1.0, -1.0))) for a, b in combinations(languages[f], 2)] for f in families}
     return LanguageModel(families, languages, weights, pairs)
 
 
