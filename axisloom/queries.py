@@ -186,10 +186,24 @@ def reduce_chain(spark: SparkSession, d: str) -> DataFrame:
     "SELECT i, k, round(sum(a * b), 3) + 0.0 AS dot FROM c JOIN m USING (j) WHERE i < 50 GROUP BY 1, 2"
 )
 def contraction(spark: SparkSession, d: str) -> DataFrame:
-    """A matrix product over components: the first fifty vectors against the mean of each label."""
+    """Part of ``contraction_whole``: the first fifty vectors only."""
+    return _label_products(spark, d, {"i": slice(0, 50)})
+
+
+@query(
+    "WITH c AS (SELECT vec_id AS i, unnest(range(len(embedding))) AS j, unnest(embedding)::DOUBLE AS a FROM embeddings), "
+    "m AS (SELECT label AS k, j, floor(1000 * avg(a)) / 1000 AS b FROM c JOIN embeddings ON i = vec_id GROUP BY 1, 2) "
+    "SELECT i, k, round(sum(a * b), 3) + 0.0 AS dot FROM c JOIN m USING (j) GROUP BY 1, 2"
+)
+def contraction_whole(spark: SparkSession, d: str) -> DataFrame:
+    """A matrix product over components: every vector against the mean of each label."""
+    return _label_products(spark, d, {})
+
+
+def _label_products(spark: SparkSession, d: str, fixed: dict) -> DataFrame:
     emb = read_table(spark, d, "embeddings")
     cells = emb.select(F.col("vec_id").alias("i"), F.col("label").alias("k"), F.posexplode("embedding").alias("j", "x")).withColumn("x", F.col("x").cast("double"))
-    a = AxisFrame.from_table(cells, "a", ["i", "j"], "x").at(i=slice(0, 50))
+    a = AxisFrame.from_table(cells, "a", ["i", "j"], "x").at(**fixed)
     b = AxisFrame.from_table(cells.groupBy("j", "k").agg((F.floor(1000 * F.avg("x")) / 1000).alias("b")), "b", ["j", "k"])
     n = Node(lambda a, b: F.round(F.sum(a * b), 3) + F.lit(0.0), "dot", kind="aggregate", spec="a[i, :], b[:, k] -> dot[i, k]")
     return compile_node(spark, n, {"a": a, "b": b})["dot"].df
