@@ -5,12 +5,16 @@ linear support vector machine for each family (against the rest) picks the famil
 one machine for each pair of languages votes. All are trained here, on the driver, from the
 features of a bounded sample: about ``PER_LANGUAGE`` rows of each label, taken by a hash of their id.
 Prediction reads whole texts, in pieces of bounded size, and nothing but the text.
+
+The machines always name one of the trained languages. Whether a text is like that language at all
+is a question of its own: the mean log-likelihood of its n-grams and its share of letters must not
+be further off than those of nearly all sample rows of the language, with some slack.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from itertools import combinations
 
 import numpy as np
@@ -22,6 +26,13 @@ DIMENSIONS = 2048
 PER_LANGUAGE = 600
 PIECE = 1 << 18
 UNKNOWN = "und"
+#: A text is unlike a language beyond this quantile of the sample's distances times SLACK (LEAST_LIMIT at least).
+QUANTILE = 0.995
+SLACK = 1.5
+LEAST_LIMIT = 8.0
+#: Letters beyond which the distance of a text no longer becomes surer; smoothing of n-gram shares.
+LETTERS = 400
+SMOOTHING = 1e-5
 
 # Families of languages; a label that is not listed is a family of its own.
 FAMILIES = {
@@ -47,18 +58,24 @@ def _letters() -> np.ndarray:
 
 def features(text: str | None) -> np.ndarray | None:
     """Unit-length features of a whole text; None where it is null or has no letter."""
+    return measured(text)[0]
+
+
+def measured(text: str | None) -> tuple[np.ndarray | None, int, float]:
+    """Features as above, the number of letters, and their share of all characters but white space and controls."""
     if not text:
-        return None
+        return None, 0, 0.0
     table = _letters()
     counts = np.zeros(DIMENSIONS)
-    seen = False
+    seen = shown = 0
     for at in range(0, len(text), PIECE):
         c = np.frombuffer(text[at : at + PIECE].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
         wide = c >= 0x10000
         alpha = table[np.where(wide, 0, c)]
         if wide.any():
             alpha[wide] = [chr(x).isalpha() for x in c[wide].tolist()]
-        seen = seen or bool(alpha.any())
+        seen += int(alpha.sum())
+        shown += int((c > 0x20).sum())
         c = np.concatenate([[np.uint32(0)], np.where(alpha, c, np.uint32(0)), [np.uint32(0)]]).astype(np.uint32)
         code = c.copy()
         for n in range(3):
@@ -68,9 +85,9 @@ def features(text: str | None) -> np.ndarray | None:
             whole = c[: len(code)] != 0 if n == 0 else (c[: len(code)] != 0) | (c[n:] != 0)
             counts += np.bincount((h >> np.uint32(21))[whole], minlength=DIMENSIONS)
     if not seen:
-        return None
+        return None, 0, 0.0
     x = np.sqrt(counts)
-    return x / np.linalg.norm(x)
+    return x / np.linalg.norm(x), seen, seen / shown
 
 
 def train_machine(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, rounds: int = 300) -> np.ndarray:
@@ -92,23 +109,54 @@ def _chance(margin: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(3 * margin, -50, 50)))
 
 
+@dataclass
+class Likeness:
+    """What texts of a language look like: log shares of n-grams, their mean, and limits of the distance and the share of letters."""
+
+    logs: np.ndarray
+    mean: float
+    most: float = np.inf
+    least_share: float = 0.0
+
+    def distance(self, x: np.ndarray, letters: np.ndarray) -> np.ndarray:
+        """How far texts (rows of features) fall short of the mean log-likelihood, in units that fit their lengths."""
+        return (self.mean - x * x @ self.logs) / np.sqrt(1 / letters + 1 / LETTERS)
+
+
+def likeness(x: np.ndarray, letters: np.ndarray, share: np.ndarray) -> Likeness:
+    """The likeness of a language, from the features, letters and shares of its sample."""
+    q = (x * x).mean(axis=0) + SMOOTHING
+    q /= q.sum()
+    out = Likeness(np.log(q), float(q @ np.log(q)))
+    out.most = max(LEAST_LIMIT, SLACK * float(np.quantile(out.distance(x, letters), QUANTILE)))
+    out.least_share = float(np.quantile(share, 1 - QUANTILE)) / SLACK
+    return out
+
+
 @dataclass
 class LanguageModel:
-    """Family machines and the pairwise machines inside each family."""
+    """Family machines, the pairwise machines inside each family, and what texts of each language look like."""
 
     families: list[str]
     languages: dict[str, list[str]]
     family_weights: np.ndarray
     pairs: dict[str, list[tuple[str, str, np.ndarray]]]
+    likeness: dict[str, Likeness] = field(default_factory=dict)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Language and score of each text."""
-        rows = [features(t) for t in texts]
-        langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-        known = [k for k, r in enumerate(rows) if r is not None]
+        langs, scores, _ = self.judge(texts)
+        return langs, scores
+
+    def judge(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
+        """Language and score of each text, and whether it looks like the sample of that language."""
+        rows = [measured(t) for t in texts]
+        langs, scores, alike = [UNKNOWN] * len(texts), [0.0] * len(texts), [False] * len(texts)
+        known = [k for k, r in enumerate(rows) if r[0] is not None]
         if not known or not self.families:
-            return langs, scores
-        x = np.hstack([np.array([rows[k] for k in known]), np.ones((len(known), 1))])
+            return langs, scores, alike
+        x = np.hstack([np.array([rows[k][0] for k in known]), np.ones((len(known), 1))])
+        letters, share = (np.array([rows[k][n] for k in known], float) for n in (1, 2))
         margins = x @ self.family_weights.T
         best = margins.argmax(axis=1)
         sure = _chance(margins[np.arange(len(known)), best]) if len(self.families) > 1 else np.ones(len(known))
@@ -127,7 +175,12 @@ class LanguageModel:
             win = votes.argmax(axis=1)
             for k, i, w in zip(at.tolist(), range(len(at)), win.tolist(), strict=True):
                 langs[known[k]], scores[known[k]] = names[w], float(min(sure[k], least[i, w]))
-        return langs, scores
+        named = np.array([langs[k] for k in known])
+        for lang, like in self.likeness.items():
+            at = np.flatnonzero(named == lang)
+            for k, ok in zip(at.tolist(), (like.distance(x[at, :-1], letters[at]) <= like.most) & (share[at] >= like.least_share), strict=True):
+                alike[known[k]] = bool(ok)
+        return langs, scores, alike
 
 
 def held_out(id_col: Column) -> Column:
@@ -153,14 +206,17 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(a, p, v.astype(np.float32).tobytes()) for a, p, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) if (v := features(t)) is not None]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["lang", "place", "x"])
+            rows = [(a, p, v[0].astype(np.float32).tobytes(), v[1], v[2]) for a, p, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) if (v := measured(t))[0] is not None]
+            kinds = [pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], kind) for n, kind in enumerate(kinds)], names=["lang", "place", "x", "letters", "share"])
 
-    rows = sample.select("lang", "place", "text").mapInArrow(run, "lang string, place long, x binary").orderBy("lang", "place").collect()
+    rows = sample.select("lang", "place", "text").mapInArrow(run, "lang string, place long, x binary, letters long, share double").orderBy("lang", "place").collect()
     held: dict[str, list[bytes]] = {}
+    sizes: dict[str, list[tuple[int, float]]] = {}
     for r in rows:
         if len(held.setdefault(r["lang"], [])) < per_language:
             held[r["lang"]].append(r["x"])
+            sizes.setdefault(r["lang"], []).append((r["letters"], r["share"]))
     del rows
     languages: dict[str, list[str]] = {}
     for lang in sorted(held):
@@ -172,7 +228,8 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_
     x[:, :-1] = np.frombuffer(b"".join(v for k in order for v in held.pop(k)), np.float32).reshape(-1, DIMENSIONS)
     weights = np.array([train_machine(x, np.where(np.isin(of, languages[f]), 1.0, -1.0)) if len(families) > 1 else np.zeros(DIMENSIONS + 1) for f in families]).reshape(-1, DIMENSIONS + 1)
     pairs = {f: [(a, b, train_machine(x[(of == a) | (of == b)], np.where(of[(of == a) | (of == b)] == a, 1.0, -1.0))) for a, b in combinations(languages[f], 2)] for f in families}
-    return LanguageModel(families, languages, weights, pairs)
+    alike = {k: likeness(x[of == k, :-1], *np.array(sizes[k], float).T) for k in order}
+    return LanguageModel(families, languages, weights, pairs, alike)
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -195,7 +252,11 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose language is not identified with a score of ``least`` at least; columns as they are."""
+    """``docs`` without the rows whose language is not identified; columns as they are.
+
+    A row stays where its text has letters, its score is ``least`` at least, and the text looks
+    like the sample of the language that was found.
+    """
     schema = docs.schema
     at = docs.columns.index(text_col)
 
@@ -203,7 +264,7 @@ def keep_identified(docs: DataFrame, model: LanguageModel, least: float = 0.5, t
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 few = batch.slice(k, 256)
-                langs, scores = model.predict(few.column(at).to_pylist())
-                yield few.filter(pa.array([lang != UNKNOWN and s >= least for lang, s in zip(langs, scores, strict=True)], pa.bool_()))
+                langs, scores, alike = model.judge(few.column(at).to_pylist())
+                yield few.filter(pa.array([lang != UNKNOWN and s >= least and ok for lang, s, ok in zip(langs, scores, alike, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, schema)

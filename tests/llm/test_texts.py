@@ -50,6 +50,26 @@ def test_prediction_reads_the_text_only(spark):
     assert a[0] == b[0][::-1]
 
 
+STRANGE = [
+    "Wczoraj wieczorem w Warszawie odbyło się spotkanie przedstawicieli rządu z przedsiębiorcami, podczas którego omówiono zmiany w przepisach",
+    "Eilen illalla Helsingissä pidettiin kokous, jossa keskusteltiin uusista säännöistä ja niiden vaikutuksista yrityksiin",
+    "Вчера вечером в Москве состоялась встреча представителей правительства с предпринимателями",
+    "昨天晚上在北京举行了一次重要的会议讨论了新的经济政策和对企业的影响",
+    "xq zkw vvpt qqj bzzx wkfj xqzv pkqw jjxz zqkx wvvk qpzx kjwq",
+    "#### 12345 x $$$ %% q 99 ~~ zx 00 ||| k",
+]
+
+
+def test_texts_in_no_known_language_are_dropped(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    model = lang_id.train(rows)
+    planted = spark.createDataFrame([(-1 - k, t, "en") for k, t in enumerate(STRANGE)], rows.schema)
+    left = {r["doc_id"] for r in lang_id.keep_identified(rows.unionByName(planted), model).collect()}
+    assert not [STRANGE[-1 - d] for d in left if d < 0]
+    held = [r["doc_id"] for r in rows.filter(lang_id.held_out(rows["doc_id"])).collect()]
+    assert len(left.intersection(held)) >= 0.99 * len(held)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var x="<p>no</p>";</script></head>
 <body class="has-sidebar"><header><h1>Site</h1></header><nav><ul><li><a href="/a">Home</a><li><a href="/b">News</a></ul></nav>
 <div id="cookie-notice">We use cookies to make this site a better place for all of us, do you agree?</div>
