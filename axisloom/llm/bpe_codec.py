@@ -6,7 +6,8 @@ chunk once and keeps its ids in a bounded memo that lasts as long as the worker;
 shuffled for this. A cut can fall inside a word, so the ids next to it may be wrong: each join is
 encoded again over the last two pieces of one chunk and the first two of the next, where a piece
 is a run of white space with the word behind it. The join is good when the outer pieces come out
-exactly as they were; otherwise the two chunks are encoded as one. The pre-tokenizer always cuts
+exactly as they were; otherwise more and more pieces on both sides are encoded. Neighbours with too
+few pieces for a join are put together first, in one step. The pre-tokenizer always cuts
 between a visible character and ASCII white space, so ids between two such places don't depend
 on anything outside, and agreement there makes the whole join exact.
 
@@ -18,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,9 @@ MEAN_BITS = 10
 SHORTEST = 384
 LONGEST = 8192
 CHUNKS_KEPT = 8_000
+CHUNK_BYTES_KEPT = 32 << 20
 PIECES_KEPT = 150_000
+LEAST_PIECES = 4
 SEGMENT = 1 << 20
 GROUP_BYTES = 4 << 20
 GROUP_ROWS = 512
@@ -93,15 +97,41 @@ def _between(text: bytes, at: int) -> int:
     return at
 
 
+def _joinable(parts: list[bytes]) -> list[bytes]:
+    """The chunks of a text, neighbours put together until each has LEAST_PIECES pieces; one chunk where the text has fewer."""
+    groups: list[list[bytes]] = []
+    pieces = 0
+    for p in parts:
+        if groups and pieces < LEAST_PIECES:
+            cut = not groups[-1][-1][-1:].isspace() and p[:1].isspace()
+            pieces += _few_pieces(p) - (not cut)
+            groups[-1].append(p)
+        else:
+            groups.append([p])
+            pieces = _few_pieces(p)
+    if len(groups) > 1 and pieces < LEAST_PIECES:
+        groups[-2:] = [groups[-2] + groups[-1]]
+    return [g[0] if len(g) == 1 else b"".join(g) for g in groups]
+
+
+def _few_pieces(part: bytes) -> int:
+    """The number of pieces, counted up to one more than LEAST_PIECES."""
+    return sum(1 for _ in islice(PIECE.finditer(part), LEAST_PIECES + 1))
+
+
 class Chunk:
-    """Ids of a chunk, and where its outer two pieces on either side end or begin (bytes and ids)."""
+    """Ids of a chunk, and where its outer two pieces on either side end or begin (bytes and ids).
+
+    From LEAST_PIECES on, the two don't overlap and both lie between places where the pre-tokenizer cuts.
+    White space at the end is a piece of its own.
+    """
 
     __slots__ = ("head", "ids", "tail")
 
     def __init__(self, text: bytes, pieces: list[bytes], ids: list[bytes]):
         self.ids = b"".join(ids)
         self.head = self.tail = None
-        if len(pieces) >= 4 and not pieces[-1].isspace():
+        if len(pieces) >= LEAST_PIECES:
             self.head = len(pieces[0]) + len(pieces[1]), len(ids[0]) + len(ids[1]), ids[1]
             self.tail = len(text) - len(pieces[-1]) - len(pieces[-2]), len(self.ids) - len(ids[-1]) - len(ids[-2]), ids[-2]
 
@@ -114,6 +144,7 @@ class ChunkCodec:
         self.pieces: PieceMemo = memo(path, pack_u16, fold=False, capacity=PIECES_KEPT)
         self.young: dict[bytes, Chunk] = {}
         self.old: dict[bytes, Chunk] = {}
+        self.held = 0
         self.encoded = self.reused = self.repaired = self.widened = 0
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.size = max(vocab.values()) + 1
@@ -127,15 +158,15 @@ class ChunkCodec:
 
     def chunks(self, parts: list[bytes]) -> dict[bytes, Chunk]:
         """Every part's chunk; those not kept from before are encoded once."""
-        if len(self.young) > CHUNKS_KEPT:
-            self.old, self.young = self.young, {}
+        if len(self.young) > CHUNKS_KEPT or self.held > CHUNK_BYTES_KEPT:
+            self.old, self.young, self.held = self.young, {}, 0
         out: dict[bytes, Chunk] = {}
         new: dict[bytes, list[bytes]] = {}
         for p in parts:
             if p in out or p in new:
                 self.reused += 1
             elif (found := self.young.get(p) or self.old.get(p)) is not None:
-                out[p] = self.young[p] = found
+                out[p] = self._keep(p, found)
                 self.reused += 1
             else:
                 new[p] = PIECE.findall(p)
@@ -143,9 +174,15 @@ class ChunkCodec:
         if new:
             table = self.pieces.lookup(set().union(*new.values()))
             for p, pieces in new.items():
-                out[p] = self.young[p] = Chunk(p, pieces, [table[x] for x in pieces])
+                out[p] = self._keep(p, Chunk(p, pieces, [table[x] for x in pieces]))
         return out
 
+    def _keep(self, part: bytes, chunk: Chunk) -> Chunk:
+        if part not in self.young:
+            self.held += len(part) + len(chunk.ids)
+            self.young[part] = chunk
+        return chunk
+
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """Ids of each text as unsigned 16-bit integers, exactly as the library gives for the whole text."""
         plans: list[list[bytes] | None] = []
@@ -154,10 +191,8 @@ class ChunkCodec:
                 plans.append(None)
                 continue
             ends = cut_points(t) if t else []
-            plans.append([t[a:b] for a, b in zip([0, *ends], ends, strict=False)])
+            plans.append(_joinable([t[a:b] for a, b in zip([0, *ends], ends, strict=False)]))
         known = self.chunks([p for plan in plans if plan for p in plan])
-        for plan in plans:
-            self._merge(plan, known)
         joins = [self._window(known, a, b) for plan in plans if plan for a, b in zip(plan, plan[1:], strict=False)]
         fresh = list(dict.fromkeys(joins))
         again = dict(zip(fresh, self.pieces.encode(fresh), strict=True))
@@ -168,20 +203,6 @@ class ChunkCodec:
             out.append(self.whole(text) if ids is None else ids)
         return out
 
-    def _merge(self, plan: list[bytes] | None, known: dict[bytes, Chunk]) -> None:
-        """Chunks with too few pieces to repair join their neighbour and are encoded together."""
-        k = 0
-        while plan and k < len(plan) and len(plan) > 1:
-            c = known[plan[k]]
-            if c.head is None:
-                a = k if k + 1 < len(plan) else k - 1
-                both = plan[a] + plan[a + 1]
-                plan[a : a + 2] = [both]
-                known |= self.chunks([both])
-                k = a
-            else:
-                k += 1
-
     @staticmethod
     def _window(known: dict[bytes, Chunk], a: bytes, b: bytes) -> bytes:
         return a[known[a].tail[0] :] + b[: known[b].head[0]]
@@ -193,14 +214,30 @@ class ChunkCodec:
         out, begin = [], 0
         for a, b in zip(plan, plan[1:], strict=False):
             left, right, ids = known[a], known[b], again[self._window(known, a, b)]
+            stop, start = left.tail[1], right.head[1]
             if not (ids.startswith(left.tail[2]) and ids.endswith(right.head[2])):
                 self.widened += 1
-                return None
-            out += [left.ids[begin : left.tail[1]], ids]
-            begin = right.head[1]
+                wider = self._widen(a, b)
+                if wider is None or wider[0] < begin:
+                    return None
+                stop, ids, start = wider
+            out += [left.ids[begin:stop], ids]
+            begin = start
         out.append(known[plan[-1]].ids[begin:])
         return b"".join(out)
 
+    def _widen(self, a: bytes, b: bytes) -> tuple[int, bytes, int] | None:
+        """A wider join that agrees: where ids of ``a`` stop, the ids between, and where ids of ``b`` begin."""
+        left, right = PIECE.findall(a), PIECE.findall(b)
+        table = self.pieces.lookup({*left, *right})
+        n = 4
+        while n < min(len(left), len(right)):
+            (ids,) = self.pieces.encode([b"".join(left[-n:] + right[:n])])
+            if ids.startswith(table[left[-n]]) and ids.endswith(table[right[n - 1]]):
+                return sum(len(table[x]) for x in left[:-n]), ids, sum(len(table[x]) for x in right[:n])
+            n *= 2
+        return None
+
     def decode(self, ids: bytes) -> str:
         """The text of packed ids, special tokens included."""
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u2").tolist())).decode("utf-8", "replace")

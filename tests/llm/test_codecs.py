@@ -40,6 +40,58 @@ def test_chunk_codec_is_exact_and_reuses_chunks():
     assert c.repaired > 30 and c.reused > 5 and c.widened == 0
 
 
+def exact(c, texts):
+    return all(np.frombuffer(raw, "<u2").tolist() == ids_of(BYTE, t) for t, raw in zip(texts, c.encode([t.encode() for t in texts]), strict=True))
+
+
+def test_long_texts_that_end_in_white_space_keep_their_chunks():
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(1, 9))) for _ in range(3000)]
+    text = " ".join(rng.choices(words, k=500_000))
+    assert len(text) > 2_500_000
+    c = bpe_codec.ChunkCodec(BYTE)
+    assert exact(c, [text + "\n"])
+    assert c.repaired > 1000 and c.widened == 0 and c.held < 8 * len(text)
+    seen = c.reused
+    assert exact(c, ["a " + text + " \n\t\n"]) and c.reused - seen > 1000
+
+
+def test_chunks_without_white_space_are_joined_in_one_step():
+    for text in ("日本語" * 40_000, ("x" * 9000 + " ") * 20 + "\n", " \n" * 100_000, "one line of all\n" * 20_000):
+        c = bpe_codec.ChunkCodec(BYTE)
+        assert exact(c, [text]) and c.held < 8 * len(text.encode())
+
+
+def test_random_texts_are_exact():
+    rng = random.Random(4)
+    texts = [mixed(k, rng.randint(500, 9000)) + rng.choice(["\n", " ", "", " \t\n  "]) for k in range(200, 300)]
+    c = bpe_codec.ChunkCodec(BYTE)
+    assert exact(c, texts) and c.widened == 0
+
+
+def test_chunk_memo_is_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(bpe_codec, "CHUNK_BYTES_KEPT", 20_000)
+    c = bpe_codec.ChunkCodec(BYTE)
+    for k in range(30):
+        assert exact(c, [mixed(k, 3000)])
+    assert sum(map(len, [*c.young, *c.old])) < 100_000
+
+
+def test_a_join_that_disagrees_is_widened(monkeypatch):
+    c = bpe_codec.ChunkCodec(BYTE)
+    monkeypatch.setattr(c, "whole", None)
+    real, calls = c.pieces.encode, []
+
+    def first_wrong(pieces):
+        calls.append(pieces)
+        return [b"\xff\xff", *real(pieces)[1:]] if len(pieces) > 1 else real(pieces)
+
+    text = "some words in a row of text " + mixed(2, 20000).replace("\t", " w ")
+    c.chunks([p for p in bpe_codec._joinable([text.encode()[a:b] for a, b in zip([0, *bpe_codec.cut_points(text.encode())], bpe_codec.cut_points(text.encode()), strict=False)])])
+    monkeypatch.setattr(c.pieces, "encode", first_wrong)
+    assert exact(c, [text]) and c.widened == 1 and calls
+
+
 def test_chunks_follow_content():
     body = mixed(5, 20000).encode()
     a = {body[x:y] for x, y in zip([0, *bpe_codec.cut_points(body)], bpe_codec.cut_points(body), strict=False)}
