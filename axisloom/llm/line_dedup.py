@@ -35,27 +35,34 @@ def _shown(line: Column) -> Column:
     return F.length(F.btrim(line, F.lit(" \t\r"))) > 0
 
 
-def boilerplate(docs: DataFrame, ratio: float = RATIO, least: int = LEAST_PAGES, host_col: str = "source", text_col: str = "text") -> DataFrame:
-    """For each host with any: ``host`` and ``dropped``, the hashes of its boilerplate lines."""
+def boilerplate(docs: DataFrame, ratio: float = RATIO, least: int = LEAST_PAGES, host_col: str = "source", text_col: str = "text", copies: bool = True) -> DataFrame:
+    """For each host with any: ``host`` and ``dropped``, the hashes of its boilerplate lines. Without ``copies``, a host's pages of one text count once."""
     slim = docs.select(F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("string").alias("text"))
+    keys = F.explode(F.array_distinct(F.transform(F.filter(_lines(F.col("text")), _shown), _key))).alias("k")
+    if copies:
+        lines = slim.select("host", keys)
+    else:
+        slim = slim.select("host", "text", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("text"), "text").alias("t2"))
+        lines = slim.select("host", "t1", "t2", keys).distinct()
+        slim = slim.select("host", "t1", "t2").distinct()
     pages = slim.groupBy("host").agg(F.count("*").alias("pages"))
-    lines = slim.select("host", F.explode(F.array_distinct(F.transform(F.filter(_lines(F.col("text")), _shown), _key))).alias("k"))
     held = lines.groupBy("host", "k.h1", "k.h2").agg(F.count("*").alias("held")).filter(F.col("held") >= least)
     over = held.join(pages, held.host.eqNullSafe(pages.host)).filter(F.col("held") > F.lit(ratio) * F.col("pages"))
     return over.groupBy(held.host).agg(F.collect_list(F.struct("h1", "h2")).alias("dropped"))
 
 
-def drop_boilerplate(docs: DataFrame, ratio: float = RATIO, least: int = LEAST_PAGES, host_col: str = "source", text_col: str = "text") -> DataFrame:
+def drop_boilerplate(docs: DataFrame, ratio: float = RATIO, least: int = LEAST_PAGES, host_col: str = "source", text_col: str = "text", copies: bool = True) -> DataFrame:
     """``docs`` with boilerplate lines taken out of the text, and ``n_lines`` and ``n_dropped``.
 
     A line is dropped where it stands on more than ``ratio`` of its host's pages and on ``least``
     pages at least. Lines compare without the spaces, tabs and carriage returns around them;
     blank lines are never counted nor dropped, and kept lines stay as they are, in order. Rows
     with a null host are one host of their own. A null text stays null, with 0 lines; an empty
-    one stays empty. Each row is a page, repeated rows too. All columns of ``docs`` stay; columns
+    one stays empty. Each row is a page, repeated rows too; without ``copies``, a host's rows of one
+    text count as one page, so that a much copied page keeps its lines. All columns of ``docs`` stay; columns
     already named ``n_lines`` or ``n_dropped`` are replaced.
     """
-    gone = table(boilerplate(docs, ratio, least, host_col, text_col), "boilerplate")
+    gone = table(boilerplate(docs, ratio, least, host_col, text_col, copies), "boilerplate")
     entries = gone.agg(F.coalesce(F.sum(F.size("dropped") + 1), F.lit(0))).first()[0]
     host, text = F.col(host_col).cast("string"), F.col(text_col).cast("string")
     known = F.concat(F.lit("h"), host)  # never null where a host is known

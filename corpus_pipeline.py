@@ -32,8 +32,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their texts without the lines that are boilerplate on their source."""
-    cut = drop_boilerplate(docs).withColumn("n_chars", F.length("text").cast("long"))
+    """All documents, their texts without the lines that are boilerplate on their source; exact copies count once for that."""
+    cut = drop_boilerplate(docs, copies=False).withColumn("n_chars", F.length("text").cast("long"))
     return cut.select(*docs.columns)
 
 

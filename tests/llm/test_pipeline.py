@@ -46,6 +46,13 @@ def test_stages_take_odd_rows(spark):
             assert len(out) <= len(rows), name
 
 
+def test_a_much_copied_page_keeps_its_text(spark):
+    page = "a first line of its own\na second line of its own"
+    rows = [(d, page + "\nshared", "en", "s", 0) for d in range(20)] + [(100 + d, f"text {d} alone\nshared", "en", "s", 0) for d in range(40)]
+    out = pipeline.line_dedup(spark, spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint"), SMALL).collect()
+    assert len(out) == 60 and all(r["text"] == (page if r["doc_id"] < 20 else f"text {r['doc_id'] - 100} alone") for r in out)
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_matches_its_sql(spark, name, tmp_path):
     c = duckdb.connect()
