@@ -195,13 +195,13 @@ class Node:
         if len(set(self.parameters)) < len(self.parameters):
             raise ValueError(f"{self.name}: two parameters have one name")
         if self.spec is not None:
-            unknown = set(self.spec.input_names) - set(self.parameters)
+            unknown = set(self.spec.names(made=False)) - set(self.parameters)
             if unknown:
                 raise ValueError(f"{self.name} has no parameters {sorted(unknown)}")
-            if set(self.spec.input_names) & set(self.bound):
+            if set(self.spec.names(made=False)) & set(self.bound):
                 raise ValueError(f"{self.name}: a bound parameter can't be indexed")
-            if self.spec.output_names != self.out:
-                raise ValueError(f"{self.name} gives {self.out}, its spec {self.spec.output_names}")
+            if self.spec.names(made=True) != self.out:
+                raise ValueError(f"{self.name} gives {self.out}, its spec {self.spec.names(made=True)}")
 
     # changing it
 
@@ -230,7 +230,7 @@ class Node:
         self.out = tuple(names.get(o, o) for o in self.out)
         self.defaults, self.bound = move(self.defaults), move(self.bound)
         if self.spec is not None:
-            self.spec = self.spec.rename(names)
+            self.spec = self.spec.rewrite(names)
 
     def _known(self, values: Mapping[str, Any]) -> None:
         unknown = set(values) - set(self.parameters)
@@ -261,7 +261,7 @@ class Node:
     def update_axes(self, names: Mapping[str, str]) -> None:
         """Rename axes."""
         if self.spec is not None:
-            self.spec = self.spec.rename_axes({k: v for k, v in names.items() if k in {a for r in (*self.spec.inputs, *self.spec.outputs) for a in r.indices}})
+            self.spec = self.spec.rewrite(axes={k: v for k, v in names.items() if k in {s.axis for s in self.spec.slots()}})
 
     def copy(self, **changes: Any) -> Node:
         """An independent copy, with other attributes."""

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from axisloom.functions.node import Node
 from axisloom.operators.frame import AxisFrame, in_order
+from axisloom.plans.spec import notation
 
 #: A side of a product is broadcast when it has at most so many cells.
 BROADCAST_CELLS = 100_000
@@ -134,7 +135,7 @@ def compile_node(spark: Any, node: Node, values: Mapping[str, Any], *, keep_erro
         ref = spec.ref(p) if spec else None
         if ref is not None:
             if len(ref.axes) != len(f.axes):
-                raise ValueError(f"{p!r} has the axes {f.axes}, {node.name} reads {ref}")
+                raise ValueError(f"{p!r} has the axes {f.axes}, {node.name} reads {notation([ref])}")
             frames[p] = f.rename_axes({a: b for a, b in zip(f.axes, ref.axes, strict=True) if b is not None and a != b})
         if f.name != p:
             frames[p] = frames[p].rename(p)

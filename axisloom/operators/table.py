@@ -16,7 +16,7 @@ from axisloom.plans.spec import IndexSpec, lineage
 def coordinates(specs: Iterable[IndexSpec], name: str, made: Iterable[str] = ()) -> dict[str, tuple[str, ...]]:
     """The root inputs that label an output, with the axes they label: those whose axes all survive."""
     specs = list(specs)
-    whole = {r.name: r.indices for s in specs for r in s.inputs if None not in r.axes}
+    whole = {r.name: tuple(r.places) for s in specs for r in s.inputs if None not in r.axes}
     return {root: axes for root, axes in lineage(specs).get(name, {}).items() if set(whole.get(root, axes)) <= set(axes)}
 
 

@@ -216,7 +216,7 @@ class Flow:
     def reduced(self) -> dict[str, set[str]]:
         """Axes that some consumer reduces."""
         axes = self.axes()
-        whole = [p for n in self.nodes for p in n.free if p in axes and (n.spec is None or p not in n.spec.input_names)]
+        whole = [p for n in self.nodes for p in n.free if p in axes and (n.spec is None or p not in n.spec.names(made=False))]
         return reduced_axes(self.specs(), whole)
 
     def independent_axes(self, out: str) -> tuple[str, ...]:

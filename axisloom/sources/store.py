@@ -187,7 +187,7 @@ class RunFolder:
             there = there.join(f.df.select(*axes), axes, "left_semi")
         for r in n.spec.inputs:
             f = args.get(r.name)
-            if isinstance(f, AxisFrame) and set(axes) <= set(r.indices):
+            if isinstance(f, AxisFrame) and set(axes) <= set(r.places):
                 own = f.rename_axes({a: b for a, b in zip(f.axes, r.axes, strict=True) if b and a != b})
                 args = {**args, r.name: own.with_df(own.df.join(there, axes, "left_anti"), sparse=True)}
                 return args
