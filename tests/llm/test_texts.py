@@ -1,4 +1,5 @@
 import hashlib
+import html.parser
 import random
 import re
 import zlib
@@ -99,6 +100,62 @@ def test_html_query(spark):
 def test_tree_fits_its_table():
     tree = html_main.grow(list(html_main.LABELLED))
     assert sum(html_main.judge(tree, r) == bool(r[-1]) for r in html_main.LABELLED) >= 0.97 * len(html_main.LABELLED)
+    assert len(html_main.LABELLED) <= 200 and tree[0] in html_main.SHALLOW
+
+
+LONG, SHORT = "plain words of a text " * 24, "a few words"
+
+
+@pytest.mark.parametrize("page, want", [
+    ("<body><h1>Title here</h1><p>A short first paragraph of text.</p><p>Another short one follows.</p></body>", ["Title here", "A short first paragraph of text.", "Another short one follows."]),
+    (f'<div id="page" class="right-sidebar"><p>{LONG}</p></div>', [LONG]),
+    (f'<article class="post no-comments"><p>{LONG}</p><p>{SHORT}</p></article>', [LONG, SHORT]),
+    (f'<main class="topic-social-policy"><p>{SHORT}</p></main>', [SHORT]),
+    (f'<div class="layout has-sidebar"><article><p title="the hidden garden">{SHORT}</p></article></div>', [SHORT]),
+    (f'<form id="whole"><nav><a href="x">{SHORT}</a></nav><main><p>{SHORT}</p></main><div class="site-footer">{SHORT}</div></form>', [SHORT]),
+    (f'<article><p>{LONG}</p></article><section id="comments"><article class="comment-body"><p>{LONG * 4}</p></article></section>', [LONG]),
+    (f'<article><p>{LONG}</p><aside>{LONG}</aside><p>{SHORT}</p></article><aside><article><p>{SHORT}</p></article></aside>', [LONG, SHORT]),
+    (f'<p>{LONG}</p><p hidden>{LONG}</p><p style="display: none">{LONG}</p><p>{LONG}</p>', [LONG, LONG]),
+    (f'<ul><li><a href="a">One</a><li><a href="b">Two</a></ul><div>{LONG}</div><p>{SHORT}</p><div>{LONG}</div><div><a href="c">Next</a></div>', [LONG, SHORT, LONG]),
+    (f'<div class="cookie-notice">{LONG}</div><p>{LONG}</p><div class="user-comments"><p>{SHORT}</p></div>', [LONG]),
+    (f'<div role="main"><p>{LONG}</p></div><div role="search">{LONG}</div>', [LONG]),
+])
+def test_pages_of_other_shapes(page, want):
+    assert html_main.main_text(page) == "\n\n".join(w.strip() for w in want)
+
+
+class PlainReader(html.parser.HTMLParser):
+    """Text of paragraphs and headings of the article element, by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.parts = False, [""]
+
+    def handle_starttag(self, tag, attrs):
+        self.inside |= tag == "article"
+        if tag in ("p", "h1"):
+            self.parts.append("")
+        if tag == "br":
+            self.parts[-1] += " "
+
+    def handle_endtag(self, tag):
+        self.inside &= tag != "article"
+        if tag in ("p", "h1"):
+            self.parts.append("")
+
+    def handle_data(self, data):
+        if self.inside:
+            self.parts[-1] += data
+
+
+def test_pages_match_a_plain_reader(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in html_main.extract(pages).collect()}
+    assert len(got) == pages.count()
+    for r in pages.collect():
+        reader = PlainReader()
+        reader.feed(r["html"])
+        assert got[r["page_id"]] == "\n\n".join(t for p in reader.parts if (t := " ".join(p.split())))
 
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
