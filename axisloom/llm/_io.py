@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,10 +12,16 @@ _FALLBACK: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where none is set (tests)."""
+    """The folder in ``spark.checkpoint.dir``. Where none is set, a temporary one if the master is local, else an error.
+
+    Executors of a cluster don't share the driver's temporary folders.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all machines of {master} share")
     return _FALLBACK.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="axisloom-"))
 
 
@@ -28,11 +35,12 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
-def drop_table(df: DataFrame) -> None:
-    """Delete what :func:`table` wrote for ``df``, once nothing reads it any more."""
-    spark = df.sparkSession
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._shared_path)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def drop_table(*tables: DataFrame) -> None:
+    """Delete what :func:`table` wrote for some frames, once nothing reads them any more."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df._shared_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
