@@ -134,12 +134,16 @@ def shuffled(module, df, bench):
 def test_line_dedup(spark, monkeypatch, most):
     monkeypatch.setattr(line_dedup, "BROADCAST_MOST", most)
     rows = [(k, f"own {k}\nfooter \r\n\nalso {k}" if k % 2 else f"own {k}\n  footer", "h1") for k in range(10)]
-    rows += [(20 + k, "footer\nx", "h2") for k in range(3)] + [(40 + k, "null host", None) for k in range(6)] + [(50, None, "h1"), (51, "", "h1"), (50, None, "h1")]
-    docs = spark.createDataFrame([(*r, "q") for r in rows], "doc_id bigint, text string, source string, n_lines string")
-    got = {r["doc_id"]: r for r in line_dedup.drop_boilerplate(docs, ratio=0.5, least=5).collect()}
+    rows += [(20 + k, f"footer\nx{k // 2}", "h2") for k in range(4)] + [(30, "one page\nalone", "h3")] + [(40 + k, "null host", None) for k in range(6)] + [(50, None, "h1"), (51, "", "h1"), (50, None, "h1")]
+    rows += [(60, "word " * 200_000 + "\n" + "short\n" * 100_000 + "footer", "h1")]
+    docs = spark.createDataFrame([(*r, "q") for r in rows], "doc_id bigint, text string, source string, N_lines string")
+    cut = line_dedup.drop_boilerplate(docs, ratio=0.5)
+    assert cut.columns == ["doc_id", "text", "source", "n_lines", "n_dropped"]
+    got = {r["doc_id"]: r for r in cut.collect()}
     assert got[1]["text"] == "own 1\n\nalso 1" and (got[1]["n_lines"], got[1]["n_dropped"]) == (3, 1)
-    assert got[2]["text"] == "own 2" and got[20]["text"] == "footer\nx" and got[40]["text"] == "" and got[40]["n_dropped"] == 1
+    assert got[2]["text"] == "own 2" and got[20]["text"] == "x0" and got[30]["text"] == "one page\nalone" and got[40]["text"] == "" and got[40]["n_dropped"] == 1
     assert got[50]["text"] is None and got[50]["n_lines"] == 0 and got[51]["text"] == "" and got[51]["n_lines"] == 0
+    assert got[60]["n_lines"] == 100_002 and got[60]["n_dropped"] == 1 and got[60]["text"] == rows[-1][1].removesuffix("\nfooter")
     assert line_dedup.drop_boilerplate(docs).count() == len(rows) and line_dedup.drop_boilerplate(docs.limit(0)).count() == 0
 
 
