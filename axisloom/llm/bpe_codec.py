@@ -6,12 +6,14 @@ chunk once and keeps its ids in a bounded memo that lasts as long as the worker;
 shuffled for this. A cut can fall inside a word, so the ids next to it may be wrong: each join is
 encoded again over the last two pieces of one chunk and the first two of the next, where a piece
 is a run of white space with the word behind it. The join is good when the outer pieces come out
-exactly as they were; otherwise more and more pieces on both sides are encoded. Neighbours with too
+exactly as they were; otherwise it is widened by more and more whole chunks on both sides until they do,
+at the utmost to the ends of the text. Neighbours with too
 few pieces for a join are put together first, in one step. The pre-tokenizer always cuts
 between a visible character and ASCII white space, so ids between two such places don't depend
 on anything outside, and agreement there makes the whole join exact.
 
-Rare kinds of white space can blur those places; a text that holds any is encoded whole.
+Characters that some pattern may take for white space are neither visible nor white space here: no piece
+begins behind one, so pieces that hold any are longer, and nothing else changes.
 """
 
 from __future__ import annotations
@@ -42,7 +44,9 @@ GROUP_ROWS = 512
 
 #: ASCII white space, and the other characters that some pattern may take for white space.
 PIECE = re.compile(rb"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
-ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
+ODD_SPACE = [*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]
+ODD = re.compile(b"|".join(re.escape(chr(c).encode("utf-8")) for c in ODD_SPACE))
+ODD_END = re.compile(b"(?:" + ODD.pattern + rb")\Z")
 
 _ODD_MULTIPLIER = 0x9E3779B97F4A7C15
 _POWERS: list[np.ndarray] = []
@@ -97,28 +101,47 @@ def _between(text: bytes, at: int) -> int:
     return at
 
 
+def _begins(left: bytes, right: bytes) -> bool:
+    """Whether a piece begins with ``right`` where it follows ``left``."""
+    return right[:1].isspace() and not left[-1:].isspace() and not ODD_END.search(left[-3:])
+
+
+def _pieces(part: bytes) -> list[bytes]:
+    """The pieces of a chunk; white space at its end is a piece of its own."""
+    found = PIECE.findall(part)
+    if not ODD.search(part):
+        return found
+    groups: list[list[bytes]] = []
+    for piece in found:
+        if groups and not _begins(groups[-1][-1], piece):
+            groups[-1].append(piece)
+        else:
+            groups.append([piece])
+    return [b"".join(g) for g in groups]
+
+
+def _few_pieces(part: bytes) -> int:
+    """The number of pieces, counted up to one more than LEAST_PIECES where that is all it takes."""
+    return len(_pieces(part)) if ODD.search(part) else sum(1 for _ in islice(PIECE.finditer(part), LEAST_PIECES + 1))
+
+
 def _joinable(parts: list[bytes]) -> list[bytes]:
     """The chunks of a text, neighbours put together until each has LEAST_PIECES pieces; one chunk where the text has fewer."""
     groups: list[list[bytes]] = []
     pieces = 0
     for p in parts:
+        few = _few_pieces(p)
         if groups and pieces < LEAST_PIECES:
-            cut = not groups[-1][-1][-1:].isspace() and p[:1].isspace()
-            pieces += _few_pieces(p) - (not cut)
+            pieces += few - (not _begins(groups[-1][-1], p))
             groups[-1].append(p)
         else:
             groups.append([p])
-            pieces = _few_pieces(p)
+            pieces = few
     if len(groups) > 1 and pieces < LEAST_PIECES:
         groups[-2:] = [groups[-2] + groups[-1]]
     return [g[0] if len(g) == 1 else b"".join(g) for g in groups]
 
 
-def _few_pieces(part: bytes) -> int:
-    """The number of pieces, counted up to one more than LEAST_PIECES."""
-    return sum(1 for _ in islice(PIECE.finditer(part), LEAST_PIECES + 1))
-
-
 class Chunk:
     """Ids of a chunk, and where its outer two pieces on either side end or begin (bytes and ids).
 
@@ -153,9 +176,6 @@ class ChunkCodec:
         self.bytes_of = _token_bytes(vocab, self.size)
         self.decimal = [b"%d" % k for k in range(self.size)]
 
-    def whole(self, text: bytes) -> bytes:
-        return pack_u16(self.tok.encode(text.decode("utf-8"), add_special_tokens=False).ids)
-
     def chunks(self, parts: list[bytes]) -> dict[bytes, Chunk]:
         """Every part's chunk; those not kept from before are encoded once."""
         if len(self.young) > CHUNKS_KEPT or self.held > CHUNK_BYTES_KEPT:
@@ -169,7 +189,7 @@ class ChunkCodec:
                 out[p] = self._keep(p, found)
                 self.reused += 1
             else:
-                new[p] = PIECE.findall(p)
+                new[p] = _pieces(p)
         self.encoded += len(new)
         if new:
             table = self.pieces.lookup(set().union(*new.values()))
@@ -185,59 +205,57 @@ class ChunkCodec:
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """Ids of each text as unsigned 16-bit integers, exactly as the library gives for the whole text."""
-        plans: list[list[bytes] | None] = []
+        plans: list[list[bytes]] = []
         for t in texts:
-            if t and ODD_SPACE.search(t.decode("utf-8")):
-                plans.append(None)
-                continue
             ends = cut_points(t) if t else []
             plans.append(_joinable([t[a:b] for a, b in zip([0, *ends], ends, strict=False)]))
-        known = self.chunks([p for plan in plans if plan for p in plan])
-        joins = [self._window(known, a, b) for plan in plans if plan for a, b in zip(plan, plan[1:], strict=False)]
+        known = self.chunks([p for plan in plans for p in plan])
+        joins = [self._window(known, plan, k, k + 1) for plan in plans for k in range(len(plan) - 1)]
         fresh = list(dict.fromkeys(joins))
         again = dict(zip(fresh, self.pieces.encode(fresh), strict=True))
         self.repaired += len(joins)
-        out = []
-        for text, plan in zip(texts, plans, strict=True):
-            ids = self._join(plan, known, again) if plan is not None else None
-            out.append(self.whole(text) if ids is None else ids)
-        return out
+        return [self._join(plan, known, again) for plan in plans]
 
     @staticmethod
-    def _window(known: dict[bytes, Chunk], a: bytes, b: bytes) -> bytes:
-        return a[known[a].tail[0] :] + b[: known[b].head[0]]
-
-    def _join(self, plan: list[bytes], known: dict[bytes, Chunk], again: dict[bytes, bytes]) -> bytes | None:
-        """Ids of the text, or None where a join doesn't agree: then the text is encoded whole."""
-        if not plan:
-            return b""
-        out, begin = [], 0
-        for a, b in zip(plan, plan[1:], strict=False):
-            left, right, ids = known[a], known[b], again[self._window(known, a, b)]
-            stop, start = left.tail[1], right.head[1]
-            if not (ids.startswith(left.tail[2]) and ids.endswith(right.head[2])):
+    def _window(known: dict[bytes, Chunk], plan: list[bytes], low: int, high: int) -> bytes:
+        """The text from the last two pieces of chunk ``low`` to the first two of ``high``; beyond the first and last chunk, to the ends."""
+        first = plan[low][known[plan[low]].tail[0] :] if low >= 0 else b""
+        last = plan[high][: known[plan[high]].head[0]] if high < len(plan) else b""
+        return b"".join((first, *plan[low + 1 : high], last))
+
+    @staticmethod
+    def _agrees(known: dict[bytes, Chunk], plan: list[bytes], low: int, high: int, ids: bytes) -> bool:
+        """Whether the outer pieces of a window came out as they were inside their chunks."""
+        return (low < 0 or ids.startswith(known[plan[low]].tail[2])) and (high >= len(plan) or ids.endswith(known[plan[high]].head[2]))
+
+    def _join(self, plan: list[bytes], known: dict[bytes, Chunk], again: dict[bytes, bytes]) -> bytes:
+        """Ids of the text: chunks without their outer pieces, and between them windows that agree."""
+        windows: list[tuple[int, int, bytes]] = []  # chunks on either side, and the ids between
+        k = 0
+        while k < len(plan) - 1:
+            low, high, step = k, k + 1, 1
+            while True:
+                while windows and windows[-1][1] > low:  # windows that this one overlaps
+                    low = min(low, windows.pop()[0])
+                text = self._window(known, plan, low, high)
+                ids = again[text] if text in again else self.pieces.encode([text])[0]
+                if self._agrees(known, plan, low, high, ids):
+                    break
                 self.widened += 1
-                wider = self._widen(a, b)
-                if wider is None or wider[0] < begin:
-                    return None
-                stop, ids, start = wider
-            out += [left.ids[begin:stop], ids]
-            begin = start
-        out.append(known[plan[-1]].ids[begin:])
+                low, high, step = max(-1, low - step), min(len(plan), high + step), 2 * step
+            windows.append((low, high, ids))
+            k = high
+        out, begin, at = [], 0, 0
+        for low, high, ids in windows:
+            if low >= 0:
+                chunk = known[plan[low]]
+                out.append(chunk.ids[begin : chunk.tail[1]])
+            out.append(ids)
+            at, begin = high, known[plan[high]].head[1] if high < len(plan) else 0
+        if at < len(plan):
+            out.append(known[plan[at]].ids[begin:])
         return b"".join(out)
 
-    def _widen(self, a: bytes, b: bytes) -> tuple[int, bytes, int] | None:
-        """A wider join that agrees: where ids of ``a`` stop, the ids between, and where ids of ``b`` begin."""
-        left, right = PIECE.findall(a), PIECE.findall(b)
-        table = self.pieces.lookup({*left, *right})
-        n = 4
-        while n < min(len(left), len(right)):
-            (ids,) = self.pieces.encode([b"".join(left[-n:] + right[:n])])
-            if ids.startswith(table[left[-n]]) and ids.endswith(table[right[n - 1]]):
-                return sum(len(table[x]) for x in left[:-n]), ids, sum(len(table[x]) for x in right[:n])
-            n *= 2
-        return None
-
     def decode(self, ids: bytes) -> str:
         """The text of packed ids, special tokens included."""
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u2").tolist())).decode("utf-8", "replace")
@@ -281,7 +299,8 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     """One row for each input row: the id and ``ids`` (array of int).
 
     Null and empty texts have no ids; a null id stays null; repeated rows each give a row; an
-    empty table gives an empty one; other columns are ignored.
+    empty table gives an empty one; other columns are ignored, whatever their names. A very long
+    text is encoded whole, alone in its group. Ids must be whole numbers.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,7 +317,11 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
 
 def decode_documents(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
-    """The texts of ``encode_documents`` output; null ids give an empty text."""
+    """The texts of ``encode_documents`` output: the id and ``text``.
+
+    A null or empty array gives an empty text; null document ids stay null, repeated rows each
+    give a row, an empty table gives an empty one, other columns are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)

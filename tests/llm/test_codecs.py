@@ -77,19 +77,40 @@ def test_chunk_memo_is_bounded_by_bytes(monkeypatch):
     assert sum(map(len, [*c.young, *c.old])) < 100_000
 
 
-def test_a_join_that_disagrees_is_widened(monkeypatch):
+@pytest.mark.parametrize("at_least, among", [(0, 1), (3000, 1), (9000, 1), (1 << 30, 1), (3000, 3), (6000, 100)])
+def test_joins_that_disagree_are_widened_chunk_by_chunk(monkeypatch, at_least, among):
+    """Windows shorter than ``at_least`` bytes come out wrong, for one in ``among`` joins; only the whole text always agrees."""
     c = bpe_codec.ChunkCodec(BYTE)
-    monkeypatch.setattr(c, "whole", None)
-    real, calls = c.pieces.encode, []
-
-    def first_wrong(pieces):
-        calls.append(pieces)
-        return [b"\xff\xff", *real(pieces)[1:]] if len(pieces) > 1 else real(pieces)
-
     text = "some words in a row of text " + mixed(2, 20000).replace("\t", " w ")
-    c.chunks([p for p in bpe_codec._joinable([text.encode()[a:b] for a, b in zip([0, *bpe_codec.cut_points(text.encode())], bpe_codec.cut_points(text.encode()), strict=False)])])
-    monkeypatch.setattr(c.pieces, "encode", first_wrong)
-    assert exact(c, [text]) and c.widened == 1 and calls
+    parts = bpe_codec._joinable([text.encode()[a:b] for a, b in zip([0, *bpe_codec.cut_points(text.encode())], bpe_codec.cut_points(text.encode()), strict=False)])
+    c.chunks(parts)
+    real, lengths = c.pieces.encode, []
+
+    def wrong(pieces):
+        lengths.extend(map(len, pieces))
+        first = len(pieces) > 1
+        return [b"\xff\xff" if (k % among == 0 if first else len(p) < at_least) and p != text.encode() else x for k, (p, x) in enumerate(zip(pieces, real(pieces), strict=True))]
+
+    monkeypatch.setattr(c.pieces, "encode", wrong)
+    assert exact(c, [text]) and c.widened > 0 and len(parts) > 8
+    assert max(lengths) <= len(text.encode()) and (at_least > 9000 or among == 1 or c.widened < 4 * len(parts))
+
+
+def test_odd_white_space_keeps_chunks():
+    rng = random.Random(21)
+    odd = ["\u00a0", "\u3000", "\u200b", "\u2003", "\x1c", "\u0085", "\ufeff", "\u180e", "\u2028"]
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(1, 9))) for _ in range(300)]
+    texts = []
+    for rate in (0.01, 0.1, 0.5, 1.0):
+        texts.append("".join(w + (rng.choice([*odd, " \u00a0", "\u00a0 ", "\n\u3000\n", "  \u2003  "]) if rng.random() < rate else " ") for w in rng.choices(words, k=4000)))
+    texts.append("日本語　の文　です。" * 3000)
+    c = bpe_codec.ChunkCodec(BYTE)
+    assert exact(c, texts) and c.repaired > 60 and c.widened == 0
+    seen = c.reused
+    assert exact(c, ["x " + t for t in texts]) and c.reused - seen > 60
+    for text in texts:
+        raw = text.encode()
+        assert b"".join(bpe_codec._pieces(raw)) == raw
 
 
 def test_chunks_follow_content():
