@@ -1,31 +1,47 @@
 """Exact top-k search by inner product: a Voronoi join.
 
-Vectors become integers, floor(64 x) of each component. A bounded sample of them serves as
-pivots; every vector belongs to the cell of its nearest pivot. For each cell a summary keeps the
-count, and the radius of all its vectors and of its queries. With q in one cell and x in another,
-q.x lies within ``p.r +- (radius_q |r| + |p| radius_x + radius_q radius_x)`` of their pivots p and
-r. So each cell of queries has a score that its k-th answers reach for certain, and only cells
-whose upper bound gets there are sent to it. Cells are cut into blocks of bounded size, whatever
-their share of the rows; pairs of blocks are solved where they meet and the local answers merged.
+Vectors become integers, floor(64 x) of each component. A bounded sample of them, about the square
+root of their number, serves as pivots; every vector belongs to the cell of its nearest pivot. A summary
+keeps for each cell its count, its radius, its longest vector and the distances of the vectors that
+are nearest to the pivot r. For a query q and a vector x at distance a from r,
+``q.r - |q| a <= q.x <= q.r + |q| a`` and ``q.x <= |q| |x|``. So the nearest distances tell a score that
+the k-th answer of q reaches for certain, and q goes only to cells whose upper bound gets there.
+
+Queries of neighbouring cells form groups of bounded size, and cells are cut into blocks of bounded size, whatever
+their share of the rows. A group is sent to the cells that any of its queries needs; there blocks and
+groups are solved as they meet, each task keeping only the best k of a query, and the tasks' answers are merged.
+
+Where no bound excludes anything, as with directions spread evenly over many dimensions, this
+compares every query with every vector, in blocks.
 """
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator
+from dataclasses import dataclass
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from axisloom.llm._io import table
+from axisloom.llm._io import drop_table, table
 
 SCALE = 64
-PIVOTS = 48
+PIVOTS_LEAST, PIVOTS_MOST = 16, 1024
 DATA_BLOCK = 2048
 QUERY_BLOCK = 512
+#: Blocks of a cell that meet the queries under one join key.
+SLOT_BLOCKS = 8
+#: Query groups whose best answers a task keeps at a time.
+GROUPS_KEPT = 64
+#: Nearest distances kept for a cell; where more would be needed to be certain, nothing is excluded.
+NEAREST_MOST = 256
 #: Products are exact in double precision while they stay below this.
 EXACT = float(1 << 53)
+NONE = np.iinfo(np.int64).min
 
 
 def quantized(values) -> np.ndarray | None:
@@ -45,6 +61,10 @@ def _padded(rows: list[np.ndarray], width: int) -> np.ndarray:
     return out
 
 
+def _widened(m: np.ndarray, width: int) -> np.ndarray:
+    return m if m.shape[1] == width else np.pad(m, ((0, 0), (0, width - m.shape[1])))
+
+
 def _scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Integer inner products; beyond the exact range of doubles, Python integers held within 64 bits."""
     with np.errstate(over="ignore"):
@@ -56,97 +76,181 @@ def _scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.array([[min(max(sum(int(a) * b for a, b in zip(r, y, strict=True)), low), high) for y in whole] for r in q], np.int64)
 
 
-def local_top(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each query its k best vectors of a block, ties to the smaller id, its own id left out: three columns."""
-    out_q, out_id, out_s = [], [], []
+def _ranked(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The best k of each row, by score and then the smaller id; an id that comes twice counts once, with its better score."""
+    by_id = np.lexsort((~scores, ids), axis=1)
+    scores, ids = np.take_along_axis(scores, by_id, 1), np.take_along_axis(ids, by_id, 1)
+    scores[:, 1:][ids[:, 1:] == ids[:, :-1]] = NONE
+    best = np.lexsort((ids, ~scores), axis=1)[:, :k]
+    return np.take_along_axis(scores, best, 1), np.take_along_axis(ids, best, 1)
+
+
+def local_top(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each query the best k scores of a block and their ids, ties to the smaller id, its own id left out (``NONE`` where there are fewer).
+
+    ``ids`` are in ascending order.
+    """
     scores = _scores(q, x)
-    own = q_ids[:, None] == ids[None, :]
-    scores[own] = np.iinfo(np.int64).min
-    most = min(k, len(ids))
-    floor = np.partition(scores, len(ids) - most, axis=1)[:, len(ids) - most] if most else np.zeros(len(q_ids), np.int64)
-    for i in range(len(q_ids)):
-        at = np.flatnonzero((scores[i] >= floor[i]) & ~own[i])
-        at = at[np.lexsort((ids[at], -scores[i][at]))][:k]
-        out_q.append(np.full(len(at), q_ids[i]))
-        out_id.append(ids[at])
-        out_s.append(scores[i][at])
-    none = [np.zeros(0, np.int64)]
-    return np.concatenate(out_q or none), np.concatenate(out_id or none), np.concatenate(out_s or none)
-
-
-def _pivots(vectors: DataFrame) -> np.ndarray:
-    """A sample of at most PIVOTS valid vectors, by a hash of their ids."""
-    rows = vectors.orderBy(F.xxhash64("id"), "id").limit(PIVOTS * 2).collect()
+    ids, first = np.unique(ids, return_index=True)
+    if len(ids) < scores.shape[1]:
+        scores = np.maximum.reduceat(scores, first, axis=1)
+    scores[q_ids[:, None] == ids[None, :]] = NONE
+    n, most = len(ids), min(k, len(ids))
+    floor = np.partition(scores, n - most, axis=1)[:, n - most]
+    row, col = np.nonzero(scores >= floor[:, None])
+    order = np.lexsort((col, ~scores[row, col], row))
+    row, col = row[order], col[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    row, col, place = row[place < k], col[place < k], place[place < k]
+    out_s, out_i = np.full((len(q_ids), k), NONE), np.full((len(q_ids), k), -1, np.int64)
+    out_s[row, place], out_i[row, place] = scores[row, col], ids[col]
+    return out_s, out_i
+
+
+def _pivots(vectors: DataFrame, most: int) -> np.ndarray:
+    """A sample of at most ``most`` valid vectors, by a hash of their ids."""
+    rows = vectors.orderBy(F.xxhash64("id"), "id").limit(most * 2).collect()
     found = [v for r in rows if (v := quantized(r["v"])) is not None]
-    found = found[:PIVOTS] or [np.zeros(1)]
+    found = found[:most] or [np.zeros(1)]
     return np.unique(_padded(found, max(map(len, found), default=1)), axis=0)
 
 
-def necessary(p: np.ndarray, cells: dict[int, tuple[int, float, float]], k: int) -> list[tuple[int, int]]:
-    """Pairs (cell of queries, cell of data) that can hold answers. cells: rows, radius, radius of the queries (below 0: none)."""
-    with np.errstate(over="ignore", invalid="ignore"):
-        norms = np.sqrt((p * p).sum(axis=1))
-        dots = p @ p.T
-    pairs = []
-    for c, (_, _, rq) in cells.items():
-        if rq < 0:
-            continue
-        bounds = []
-        for g, (n, rx, _) in cells.items():
-            slack = (rq * norms[g] + norms[c] * rx + rq * rx) * (1 + 1e-9) + 1e-6
-            if not np.isfinite(slack + dots[c, g]):  # beyond doubles nothing is known
-                bounds.append((-np.inf, np.inf, n - (g == c), g))
+@dataclass
+class Summary:
+    """What is known of the cells: pivots, and for each counts of rows and queries, radius, longest vector and nearest distances."""
+
+    pivots: np.ndarray
+    rows: np.ndarray
+    queries: np.ndarray
+    radius: np.ndarray
+    longest: np.ndarray
+    nearest: np.ndarray  # filled up with infinity
+
+    def needed(self, q: np.ndarray, sure: int) -> np.ndarray:
+        """For each query (row) whether a cell can hold answers, where ``sure`` rows are certain to hold enough of them."""
+        width = max(q.shape[1], self.pivots.shape[1])
+        q, p = _widened(q, width), _widened(self.pivots, width)
+        out = np.ones((len(q), len(p)), bool)
+        for at in range(0, len(q), 64):
+            few = q[at : at + 64]
+            with np.errstate(over="ignore", invalid="ignore"):
+                norms = np.sqrt((few * few).sum(axis=1))[:, None]
+                dots = few @ p.T
+                slack = 1e-9 * (np.abs(dots) + norms * (self.radius + np.sqrt((p * p).sum(axis=1)))) + 1e-6
+                high = np.minimum(dots + norms * self.radius, norms * self.longest) + slack
+                low = ((dots - slack)[:, :, None] - norms[:, :, None] * self.nearest[None]).reshape(len(few), -1)
+            low[np.isnan(low)] = -np.inf
+            if sure > self.nearest.shape[1] or sure > low.shape[1]:
                 continue
-            bounds.append((dots[c, g] - slack, dots[c, g] + slack, n - (g == c), g))
-        sure, reach = 0, -np.inf
-        for low, _, n, _ in sorted(bounds, reverse=True):
-            sure += n
-            if sure >= k:
-                reach = low
-                break
-        pairs += [(c, g) for _, high, _, g in bounds if high >= reach]
-    return pairs
+            reach = np.partition(low, low.shape[1] - sure, axis=1)[:, low.shape[1] - sure]
+            out[at : at + 64] = ~(high < reach[:, None])  # what isn't a number is kept
+        return out & (self.rows > 0)
+
+    def groups(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each cell the group of its queries and the number of parts that it needs.
+
+        Pivots are taken in a chain of nearest neighbours, and groups are cut where they are full.
+        """
+        left, chain = set(range(len(self.pivots))), []
+        at = 0
+        while left:
+            chain.append(at)
+            left.discard(at)
+            rest = np.fromiter(left, int, len(left))
+            if len(rest):
+                with np.errstate(over="ignore", invalid="ignore"):
+                    d = ((self.pivots[rest] - self.pivots[at]) ** 2).sum(axis=1)
+                at = int(rest[np.where(np.isnan(d), np.inf, d).argmin()])
+        group, held, number = np.zeros(len(chain), np.int32), 0, 0
+        for c in chain:
+            if held and held + self.queries[c] > QUERY_BLOCK:
+                number, held = number + 1, 0
+            group[c] = number
+            held += self.queries[c]
+        return group, np.maximum(1, -(-self.queries // QUERY_BLOCK)).astype(np.int32)
+
+    def slots(self) -> np.ndarray:
+        """How many join keys the blocks of each cell are dealt over."""
+        return np.maximum(1, -(-self.rows // (DATA_BLOCK * SLOT_BLOCKS))).astype(np.int32)
 
 
-CELLS = "id long, cell int, away double, size int, v binary"
+CELLS = "id long, cell int, away double, norm double, size int, v binary"
 
 
 def _assigned(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                few = batch.slice(at, 4096)
+            for at in range(0, batch.num_rows, 2048):
+                few = batch.slice(at, 2048)
                 rows = [(i, v) for i, x in zip(few.column(0).to_pylist(), few.column(1).to_pylist(), strict=True) if (v := quantized(x)) is not None]
                 if not rows:
                     continue
                 width = max(pivots.shape[1], *(len(v) for _, v in rows))
-                x, p = _padded([v for _, v in rows], width), _padded(list(pivots), width)
+                x, p = _padded([v for _, v in rows], width), _widened(pivots, width)
                 with np.errstate(over="ignore", invalid="ignore"):
                     d = (x * x).sum(axis=1)[:, None] + (p * p).sum(axis=1)[None, :] - 2 * (x @ p.T)
                     cell = np.where(np.isnan(d), np.inf, d).argmin(axis=1)
-                    away = np.sqrt(((x - p[cell]) ** 2).sum(axis=1))
+                    away, norm = np.sqrt(((x - p[cell]) ** 2).sum(axis=1)), np.sqrt((x * x).sum(axis=1))
                 away = np.where(np.isnan(away), np.inf, away)
-                cols = [pa.array([i for i, _ in rows], pa.int64()), pa.array(cell, pa.int32()), pa.array(away), pa.array([len(v) for _, v in rows], pa.int32()), pa.array([v.tobytes() for _, v in rows], pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=["id", "cell", "away", "size", "v"])
+                cols = [pa.array([i for i, _ in rows], pa.int64()), pa.array(cell, pa.int32()), pa.array(away), pa.array(norm), pa.array([len(v) for _, v in rows], pa.int32()), pa.array([v.tobytes() for _, v in rows], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["id", "cell", "away", "norm", "size", "v"])
 
     return vectors.mapInArrow(run, CELLS)
 
 
-def _blocks(rows: DataFrame, size: int, prefix: str) -> DataFrame:
-    """One row for each block of at most about ``size`` vectors of a cell: cell, block, ids and a matrix as bytes."""
-    counts = rows.groupBy("cell").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / size)).cast("int").alias("parts"))
-    dealt = rows.join(F.broadcast(counts), "cell").withColumn("block", F.pmod(F.xxhash64("id", "v"), F.col("parts")).cast("int"))
+def _summary(rows: DataFrame, pivots: np.ndarray, asks, sure: int) -> Summary:
+    """One row a cell, and its ``sure`` nearest distances, come to the driver."""
+    n = len(pivots)
+    nearest = np.full((n, sure if sure <= NEAREST_MOST else 0), np.inf)
+    out = Summary(pivots, np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n), nearest)
+    for c, count, queries, radius, longest in rows.groupBy("cell").agg(F.count("*"), F.count_if(asks), F.max("away"), F.max("norm")).collect():
+        out.rows[c], out.queries[c], out.radius[c], out.longest[c] = count, queries, radius, longest
+    if nearest.shape[1]:
+        by = Window.partitionBy("cell").orderBy("away")
+        few = rows.select("cell", "away", F.row_number().over(by).alias("nth")).filter(F.col("nth") <= sure)
+        for c, aways in few.groupBy("cell").agg(F.sort_array(F.collect_list("away"))).collect():
+            nearest[c, : len(aways)] = aways
+    return out
+
+
+def _data_blocks(rows: DataFrame, summary: Summary) -> DataFrame:
+    """One row for each block of at most about ``DATA_BLOCK`` vectors of a cell: cell, slot, ids and a matrix as bytes."""
+    parts = F.array(*[F.lit(int(p)) for p in np.maximum(1, -(-summary.rows // DATA_BLOCK))])
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.get(parts, F.col("cell"))).cast("int"))
 
     def pack(t: pa.Table) -> pa.Table:
-        ids = t["id"].to_numpy()
-        order = np.argsort(ids, kind="stable")
-        vs = t["v"].to_pylist()
-        width = max(t["size"].to_pylist())
-        m = _padded([np.frombuffer(vs[i]) for i in order], width)
-        return pa.table({"cell": t["cell"][:1], "block": t["block"][:1], "width": pa.array([width], pa.int32()), "ids": pa.array([ids[order].astype("<i8").tobytes()]), "m": pa.array([m.tobytes()])})
+        ids, m = _packed(t)
+        slot = t["block"][0].as_py() // SLOT_BLOCKS
+        return pa.table({"cell": t["cell"][:1], "slot": pa.array([slot], pa.int32()), "x_width": pa.array([m.shape[1]], pa.int32()), "x_ids": pa.array([ids.tobytes()]), "x_m": pa.array([m.tobytes()])})
 
-    packed = dealt.groupBy("cell", "block").applyInArrow(pack, "cell int, block int, width int, ids binary, m binary")
-    return table(packed.select([F.col(c).alias(prefix + c) for c in packed.columns]), "blocks")
+    packed = dealt.select("cell", "block", "id", "size", "v").groupBy("cell", "block").applyInArrow(pack, "cell int, slot int, x_width int, x_ids binary, x_m binary")
+    return table(packed, "data-blocks")
+
+
+def _packed(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    ids = t["id"].to_numpy()
+    order = np.argsort(ids, kind="stable")
+    vs = t["v"].to_pylist()
+    return ids[order].astype("<i8"), _padded([np.frombuffer(vs[i]) for i in order], max(t["size"].to_pylist()))
+
+
+def _query_blocks(asked: DataFrame, summary: Summary, sure: int) -> DataFrame:
+    """One row for each block of queries: its number, ids, a matrix, which cells each query needs, and the cells and slots that any does."""
+    group, parts = summary.groups()
+    slots = summary.slots()
+    place = lambda values: F.get(F.array(*[F.lit(int(v)) for v in values]), F.col("cell"))
+    dealt = asked.withColumn("group", place(group)).withColumn("part", F.pmod(F.xxhash64("id", "v"), place(parts)).cast("int"))
+
+    def pack(t: pa.Table) -> pa.Table:
+        ids, m = _packed(t)
+        needed = summary.needed(m, sure)
+        keys = [{"cell": int(c), "slot": s} for c in np.flatnonzero(needed.any(axis=0)) for s in range(slots[c])]
+        kinds = pa.list_(pa.struct([("cell", pa.int32()), ("slot", pa.int32())]))
+        columns = {"q_block": pa.array([f"{t['group'][0]}-{t['part'][0]}"]), "q_width": pa.array([m.shape[1]], pa.int32()), "q_ids": pa.array([ids.tobytes()]), "q_m": pa.array([m.tobytes()])}
+        return pa.table({**columns, "needs": pa.array([np.packbits(needed, axis=1).tobytes()]), "keys": pa.array([keys], kinds)})
+
+    packed = dealt.select("group", "part", "id", "size", "v").groupBy("group", "part").applyInArrow(pack, "q_block string, q_width int, q_ids binary, q_m binary, needs binary, keys array<struct<cell:int,slot:int>>")
+    return table(packed, "query-blocks")
 
 
 def top_k(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -155,37 +259,60 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_i
     Queries are the rows whose id is divisible by ``every``; all rows with other ids are
     candidates. Ties go to the smaller id. Vectors that are null or hold null or non-finite
     components take no part, nor do null ids. Shorter vectors count as filled up with zeros.
-    Rows that repeat an id are each candidates, and as queries give one answer list for the id
-    (its rows' best together). Scores beyond 64 bits are held at their bounds. With fewer than k
-    candidates all are returned; an empty table gives an empty result; other columns are ignored.
+    Rows that repeat an id are one candidate, which counts with its best score, and one query, which has
+    the best scores of any of them. Scores beyond 64 bits are held at their bounds. With fewer than k
+    candidates all are returned; an empty table gives an empty result; other columns are ignored, whatever their names. Ids
+    must be whole numbers.
     """
-    spark = vectors.sparkSession
     slim = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter("id IS NOT NULL AND v IS NOT NULL")
-    pivots = _pivots(slim)
+    count, repeats = slim.groupBy("id").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(1))).first()
+    if repeats > 1:
+        slim = slim.dropDuplicates(["id", "v"])
+    pivots = _pivots(slim, min(PIVOTS_MOST, max(PIVOTS_LEAST, isqrt(count))))
     rows = table(_assigned(slim, pivots), "cells")
     asks = F.pmod("id", F.lit(every)) == 0
-    summary = rows.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("r"), F.coalesce(F.max(F.when(asks, F.col("away"))), F.lit(-1.0)).alias("rq")).collect()
-    pairs = necessary(pivots, {s["cell"]: (s["n"], s["r"], s["rq"]) for s in summary}, k)
-
-    data = _blocks(rows, DATA_BLOCK, "x_")
-    asked = _blocks(rows.filter(asks), QUERY_BLOCK, "q_")
-    wanted = spark.createDataFrame(pairs, "q_cell int, x_cell int")
-    met = asked.join(F.broadcast(wanted), "q_cell").join(data, "x_cell")
+    sure = (k + 1) * repeats  # so many rows hold k ids other than the query's own
+    summary = _summary(rows, pivots, asks, sure)
+    data, asked = _data_blocks(rows, summary), _query_blocks(rows.filter(asks), summary, sure)
+    drop_table(rows)
+    wanted = asked.select("q_block", "q_width", "q_ids", "q_m", "needs", F.explode("keys").alias("key")).select("*", "key.*").drop("key")
+    met = wanted.join(data, ["cell", "slot"]).select("q_block", "q_width", "q_ids", "q_m", "needs", "cell", "x_width", "x_ids", "x_m")
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: OrderedDict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = OrderedDict()
+
+        def rows_of(name: str) -> pa.RecordBatch:
+            q_ids, scores, ids = best.pop(name)
+            row, col = np.nonzero(scores != NONE)
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (q_ids[row], ids[row, col], scores[row, col])], names=["query_id", "id", "score"])
+
         for batch in batches:
             for i in range(batch.num_rows):
                 r = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
+                q_ids, x_ids = np.frombuffer(r["q_ids"], "<i8"), np.frombuffer(r["x_ids"], "<i8")
+                needs = np.frombuffer(r["needs"], np.uint8).reshape(len(q_ids), -1)
+                these = np.flatnonzero(needs[:, r["cell"] >> 3] >> (7 - (r["cell"] & 7)) & 1)
                 width = max(r["q_width"], r["x_width"])
-                q = _padded(list(np.frombuffer(r["q_m"]).reshape(-1, r["q_width"])) if r["q_width"] else [np.zeros(0)] * (len(r["q_ids"]) // 8), width)
-                x = _padded(list(np.frombuffer(r["x_m"]).reshape(-1, r["x_width"])) if r["x_width"] else [np.zeros(0)] * (len(r["x_ids"]) // 8), width)
-                cols = local_top(np.frombuffer(r["q_ids"], "<i8"), q, np.frombuffer(r["x_ids"], "<i8"), x, k)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "id", "score"])
-
-    local = met.select("q_width", "q_ids", "q_m", "x_width", "x_ids", "x_m").mapInArrow(solve, "query_id long, id long, score long")
+                q = _widened(np.frombuffer(r["q_m"]).reshape(len(q_ids), r["q_width"])[these], width)
+                x = _widened(np.frombuffer(r["x_m"]).reshape(len(x_ids), r["x_width"]), width)
+                if r["q_block"] not in best:
+                    best[r["q_block"]] = q_ids, np.full((len(q_ids), k), NONE), np.full((len(q_ids), k), -1, np.int64)
+                best.move_to_end(r["q_block"])
+                _, scores, ids = best[r["q_block"]]
+                if len(these):
+                    s, j = local_top(q_ids[these], q, x_ids, x, k)
+                    scores[these], ids[these] = _ranked(np.hstack([scores[these], s]), np.hstack([ids[these], j]), k)
+                if len(best) > GROUPS_KEPT:
+                    yield rows_of(next(iter(best)))
+        for name in list(best):
+            yield rows_of(name)
+
+    local = met.mapInArrow(solve, "query_id long, id long, score long")
+    if repeats > 1:
+        local = local.repartition("query_id").groupBy("query_id", "id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    best = local.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return best.select("query_id", "rank", F.col("id").alias(id_col), "score")
+    ranked = local.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", F.col("id").alias(id_col), "score")
 
 
 ORACLE = """
@@ -194,8 +321,8 @@ WITH v AS (
   FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, x.vec_id, list_inner_product(q.e, x.e)::BIGINT AS score
-  FROM v q JOIN v x ON q.vec_id % 20 = 0 AND q.vec_id <> x.vec_id),
+  SELECT q.vec_id AS query_id, x.vec_id, max(list_inner_product(q.e, x.e)::BIGINT) AS score
+  FROM v q JOIN v x ON q.vec_id % 20 = 0 AND q.vec_id <> x.vec_id GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM s)
 SELECT query_id, k::INTEGER AS rank, vec_id, score FROM r WHERE k <= 20
 """

@@ -168,8 +168,81 @@ def test_knn_join_matches_brute_force(spark):
     assert [tuple(r) for r in knn_join.top_k(few).collect()] == [(0, 1, 1, 64 * 128)]
 
 
+def expected(rows, k=20, every=20):
+    """Brute force: the best score of each other id for each query id, over all rows of both."""
+    best = collections.defaultdict(dict)
+    for q, u in rows:
+        for d, v in rows if q % every == 0 else ():
+            if d != q:
+                score = sum(int(np.floor(64 * a)) * int(np.floor(64 * b)) for a, b in zip(u, v, strict=False))
+                best[q][d] = max(score, best[q].get(d, score))
+    return {q: [(n + 1, d, s) for n, (d, s) in enumerate(sorted(found.items(), key=lambda x: (-x[1], x[0]))[:k])] for q, found in best.items()}
+
+
+@pytest.mark.parametrize("case", ["repeats", "hot id", "one vector", "blocks"])
+def test_knn_join_of_odd_tables(spark, monkeypatch, case):
+    rng = np.random.default_rng(11)
+    if case == "blocks":  # many blocks, slots and query groups from few rows
+        for name, value in (("DATA_BLOCK", 16), ("QUERY_BLOCK", 4), ("SLOT_BLOCKS", 2), ("GROUPS_KEPT", 1)):
+            monkeypatch.setattr(knn_join, name, value)
+    rows = [(k, rng.normal(size=4).tolist()) for k in range(200)]
+    if case == "repeats":
+        rows += [(k, rng.normal(size=4).tolist()) for k in range(0, 200, 7)] + rows[:40]
+    if case == "hot id":
+        rows += [(40, rng.normal(size=4).tolist()) for _ in range(60)] + [(41, rng.normal(size=4).tolist()) for _ in range(60)] + [(60, [9.0] * 4)] * 30
+    if case == "one vector":
+        rows = [(k, [0.25, -0.5]) for k in range(300)] + rows[:20]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in knn_join.top_k(df).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    assert got == expected(rows)
+
+
+def summarised(x, pivots, every=20, sure=21):
+    d = np.sqrt(((x[:, None] - pivots[None]) ** 2).sum(axis=2))
+    cell, away, n = d.argmin(axis=1), d.min(axis=1), len(pivots)
+    nearest = np.full((n, sure), np.inf)
+    for c in range(n):
+        few = np.sort(away[cell == c])[:sure]
+        nearest[c, : len(few)] = few
+    top = lambda v: np.array([v[cell == c].max(initial=0) for c in range(n)])
+    counts = np.bincount(cell, minlength=n)
+    return cell, knn_join.Summary(pivots, counts, np.bincount(cell[::every], minlength=n), top(away), top(np.sqrt((x * x).sum(axis=1))), nearest)
+
+
 def test_cells_that_cannot_hold_answers_are_left_out():
-    p = np.array([[100.0, 0.0], [-100.0, 0.0]])
-    cells = {0: (50, 1.0, 1.0), 1: (50, 1.0, 1.0)}
-    assert sorted(knn_join.necessary(p, cells, 20)) == [(0, 0), (1, 1)]
-    assert sorted(knn_join.necessary(p, cells, 60)) == [(0, 0), (0, 1), (1, 0), (1, 1)]
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 16))
+    x = np.floor(64 * np.concatenate([c * rng.uniform(0.5, 3) + rng.normal(size=(50, 16)) * 0.05 for c in centres]))
+    cell, summary = summarised(x, x[rng.choice(len(x), 45, False)])
+    q = x[::20]
+    needed = summary.needed(q, 21)
+    scores = q @ x.T
+    for k in range(len(q)):  # every answer lies in a cell that is kept
+        order = [j for j in np.argsort(-scores[k], kind="stable") if j != 20 * k][:20]
+        assert needed[k, cell[order]].all()
+    sent = (needed * summary.rows).sum() / (len(q) * len(x))
+    assert sent < 0.5, sent
+    assert summary.needed(q, 10_000)[:, summary.rows > 0].all()
+    assert summary.needed(np.full((1, 16), 1e200), 21)[:, summary.rows > 0].all()
+
+
+def test_evenly_spread_directions_are_compared_with_all():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(2000, 64))
+    x = np.floor(64 * x / np.linalg.norm(x, axis=1)[:, None])
+    _, summary = summarised(x, x[:44])
+    assert (summary.needed(x[::20], 21) * summary.rows).sum() > 0.99 * 100 * 2000
+
+
+def test_query_groups_are_bounded():
+    rng = np.random.default_rng(5)
+    p = rng.normal(size=(30, 3))
+    queries = rng.integers(0, 400, 30)
+    queries[7] = 5000
+    s = knn_join.Summary(p, queries * 20, queries, np.zeros(30), np.zeros(30), np.zeros((30, 0)))
+    group, parts = s.groups()
+    for g in set(group):
+        assert queries[group == g].sum() <= knn_join.QUERY_BLOCK or (group == g).sum() == 1 or queries[group == g].max() > knn_join.QUERY_BLOCK
+    assert parts[7] == 10 and s.slots()[7] == 7
