@@ -35,9 +35,24 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
+def table_by(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Like :func:`table`, in buckets of ``key``: joins on it read the table without shuffling it again."""
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    known = f"axisloom_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{known}"
+    df.repartition(buckets, key).write.bucketBy(buckets, key).option("path", path).saveAsTable(known)
+    back = spark.table(known)
+    back._shared_path, back._shared_table = path, known
+    return back
+
+
 def drop_table(*tables: DataFrame) -> None:
-    """Delete what :func:`table` wrote for some frames, once nothing reads them any more."""
+    """Delete what :func:`table` or :func:`table_by` wrote for some frames, once nothing reads them any more."""
     for df in tables:
+        known = getattr(df, "_shared_table", None)
+        if known:
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {known}")
         context = df.sparkSession.sparkContext
         path = context._jvm.org.apache.hadoop.fs.Path(df._shared_path)
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

@@ -8,6 +8,7 @@ about ``GROUP_BYTES``, and pieces not met before go to the library in batches ba
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,7 +19,7 @@ from axisloom.llm._vocab import memo
 
 GROUP_BYTES = 4 << 20
 SEGMENT_BYTES = 1 << 20
-SPACE = b" \t\n\r\x0b\x0c"
+GAP = re.compile(rb"[ \t\n\r\x0b\x0c]")
 
 
 def segments(text: bytes, limit: int = SEGMENT_BYTES) -> Iterator[bytes]:
@@ -28,11 +29,11 @@ def segments(text: bytes, limit: int = SEGMENT_BYTES) -> Iterator[bytes]:
     """
     at = 0
     while len(text) - at > limit:
-        cut = min((k for k in (text.find(bytes([s]), at + limit) for s in SPACE) if k >= 0), default=-1)
-        if cut < 0:
+        found = GAP.search(text, at + limit)
+        if found is None:
             break
-        yield text[at:cut]
-        at = cut
+        yield text[at : found.start()]
+        at = found.start()
     yield text[at:]
 
 

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from axisloom.llm import decontaminate, knn_join, line_dedup, ngram_join
+from axisloom.llm import _shingles, decontaminate, knn_join, line_dedup, ngram_join
 from axisloom.llm._components import components
 from brute import brute_components, shingles
 
@@ -39,11 +39,62 @@ def test_ngram_join_matches_brute_force(spark, seed, monkeypatch):
     assert sorted(map(tuple, got), key=repr) == sorted(brute_components(rows), key=repr)
 
 
+@pytest.mark.parametrize("demoted, hold", [(5, 3), (100_000, 1), (400, 10**9)])
+def test_hot_keys_and_classes_match_brute_force(spark, monkeypatch, demoted, hold):
+    for name, value in (("HOT_ROWS", 4), ("HOT_SAMPLE", 1), ("LONG_LIST", 6), ("BLOCK_DOCS", 7), ("DEMOTED_MOST", demoted), ("SAMPLE_HOLD", hold)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rows = [*corpus(3), *((1000 + k, "the very same words in each of these rows") for k in range(20)), (2000, "word " * 300_000 + "end"), (2001, "other " * 300_000 + "end")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(map(tuple, ngram_join.linked_documents(docs).collect())) == sorted(brute_components(rows))
+
+
+def test_small_sets_link_through_subsets_alone(spark, monkeypatch):
+    """Sets of four and five: the cost model takes a boundary at which they list no shingle, and their subsets find the links."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefghijkl", k=6))
+    rows = []
+    for k in range(150):
+        base = [word() for _ in range(8)]
+        rows += [(10 * k, " ".join(base)), (10 * k + 1, " ".join([*base, word()])), (10 * k + 2, " ".join([word() for _ in range(8)]))]
+        if k % 3 == 0:
+            rows.append((10 * k + 3, " ".join([*base[:7], word()])))
+    histogram = collections.Counter(len(shingles(t)) for _, t in rows)
+    most = ngram_join.small_boundary(histogram, ngram_join.LIST_COST, 80)
+    assert set(histogram) == {4, 5} and most >= 6
+    for _, t in rows:
+        keys, listed, *_ = ngram_join._keys(np.arange(len(shingles(t)), dtype=np.uint64), most, 80, np.zeros(0, np.uint64))
+        assert listed == 0 and len(keys) in (1, 6)
+    got = ngram_join.linked_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(map(tuple, got)) == sorted(brute_components(rows)) and sum(r["component_id"] != r["doc_id"] for r in got) == 150
+
+
+def test_an_id_has_the_links_of_all_its_texts(spark):
+    a, b = "one two three four five six seven", " ".join(f"w{k}" for k in range(60))
+    rows = [(1, a), (2, a), (2, b), (3, b + " x"), (4, b + " y z"), (9, "nothing like the others at all")]
+    got = ngram_join.linked_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {1: 1, 2: 1, 3: 1, 4: 1, 9: 9} and len(got) == 6
+
+
 def test_ngram_join_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     assert ngram_join.linked_documents(docs).count() == 0
 
 
+def test_shingle_hashes_tell_shingles_apart(monkeypatch):
+    rng = random.Random(17)
+    texts = ["", " ", "a", "A a\ta", "a\x1cb c", "\u00a0a b\u3000c", "ÄÖ äö Äö", "x" * 5000, " lead and trail \n"]
+    texts += ["".join(rng.choices(["a", "b", "B", "ab", " ", "  ", "\n", "\x0b", "é", "日"], k=rng.randint(1, 400))) for _ in range(300)]
+    for segment in (1 << 18, 64):
+        monkeypatch.setattr(_shingles, "SEGMENT", segment)
+        seen = {}
+        for t in texts:
+            h, want = _shingles.shingle_hashes(t.encode()), shingles(t)
+            assert len(h) == len(want) and (np.diff(h) > 0).all()
+            assert seen.setdefault(tuple(h.tolist()), want) == want
+        for s, t in itertools.combinations(texts[9:60], 2):
+            assert len(np.intersect1d(_shingles.shingle_hashes(s.encode()), _shingles.shingle_hashes(t.encode()))) == len(shingles(s) & shingles(t))
+
+
 def test_small_sets_share_a_subset():
     rng = random.Random(3)
     for _ in range(300):
