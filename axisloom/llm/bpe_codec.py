@@ -336,7 +336,8 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     """Encode and decode every text in one pass and keep digests only.
 
     Returns the id, ``n_tokens``, ``ids_sha256`` (of the decimal ids joined by commas) and
-    ``decoded_sha256`` (of the decoded text in UTF-8). Cases as in ``encode_documents``.
+    ``decoded_sha256`` (of the decoded text in UTF-8). Cases as in ``encode_documents``; a text without ids has the
+    digests of nothing.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

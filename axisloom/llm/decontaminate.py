@@ -4,9 +4,11 @@ Short test items are searched for inside long documents by containment: the shar
 distinct word shingles that a document holds. Items are partitioned by the size of their shingle
 set, in powers of two. Each partition keeps, for every item, its smallest ``s`` hashes (bottom-s
 MinHash), with ``s`` large enough for the partition's largest size: a document that holds
-the required share of any item in the partition must hold one of these ``s``. Documents are
-probed shingle by shingle, and only hashes not above the partition's largest sketch value can
-match, so most are dropped before the join. Candidates are then verified by exact containment.
+the required share of any item in the partition must hold one of these ``s``. So the partition sets how
+many hashes of an item are looked for: those that its largest size may miss, and one more.
+Documents are probed shingle by shingle: hashes above the largest sketch value of all partitions can't match and
+are dropped before the join (about half of them, as short items keep large values). Candidates are
+then verified by containment of whole sets. Shingles compare by 64-bit hashes throughout.
 """
 
 from __future__ import annotations
@@ -49,7 +51,8 @@ def contaminated(docs: DataFrame, items: DataFrame, k: int = SHINGLE_WORDS, perc
     a-z; words are separated by ASCII white space. Texts that are null, empty or without words
     match nothing, nor do rows with a null id. An item under ``k`` words matches documents that
     are that very sequence. Rows that repeat an id are one document whose shingles are those of
-    all of them. Empty tables give an empty result; other columns are ignored.
+    all of them (so the size of one row excludes nothing), and rows that repeat an item's id one item. Very long texts are split whole, in their task. Empty tables give an
+    empty result; other columns are ignored, whatever their names. Ids must be whole numbers.
     """
     item = items.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("text")).filter("item IS NOT NULL")
     held = item.select("item", F.explode(shingles(F.col("text"), k)).alias("h")).distinct()
@@ -76,7 +79,11 @@ def contaminated(docs: DataFrame, items: DataFrame, k: int = SHINGLE_WORDS, perc
 
 
 def without_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without the documents that hold an item; rows with a null id stay."""
+    """``docs`` without the documents that hold an item, columns as they are.
+
+    Rows with a null id stay, and so do null and empty texts; all rows of an id that holds an item go. Without items
+    all rows stay; an empty table gives an empty one.
+    """
     leaks = contaminated(docs, items, id_col=id_col, **options).select(F.col(id_col).alias("leak")).distinct()
     return docs.join(leaks, docs[id_col].cast("long") == leaks["leak"], "left_anti")
 

@@ -236,8 +236,9 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     """One row for each input row: the id, ``held_out``, ``lang_pred`` and ``score``.
 
     ``lang_pred`` is ``und`` with score 0 where the text is null, empty or without a letter. A
-    null id stays null and is not held out; repeated rows each give a row; an empty table gives an
-    empty one; other columns are ignored.
+    null id stays null and is not held out; repeated rows each give a row; very long texts are read whole, piece by piece; a tie goes to the
+    language that comes first in its family; an empty table gives an
+    empty one; other columns are ignored, whatever their names. Ids must be whole numbers.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,7 +256,9 @@ def keep_identified(docs: DataFrame, model: LanguageModel, least: float = 0.5, t
     """``docs`` without the rows whose language is not identified; columns as they are.
 
     A row stays where its text has letters, its score is ``least`` at least, and the text looks
-    like the sample of the language that was found.
+    like the sample of the language that was found. So null and empty texts go, and all rows where the model was
+    trained on nothing. Ids may be null or repeat, rows are judged one by one; very long texts are read whole; an empty
+    table gives an empty one.
     """
     schema = docs.schema
     at = docs.columns.index(text_col)

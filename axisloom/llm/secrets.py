@@ -74,8 +74,8 @@ def secret_spans(docs: DataFrame, scope: int = SCOPE, id_col: str = "doc_id", te
     ``spans`` lists ``kind:start:end`` in code points, end exclusive, by start and then kind:
     strong parts all, weak ones where a complementary part is at most ``scope`` code points away.
     ``base_sha256`` is of the strong parts alone, listed the same way. Null and empty texts have
-    no spans; rows with a null id are scanned like others; repeated rows each give a row; an
-    empty table gives an empty one; other columns are ignored.
+    no spans; rows with a null id are scanned like others; repeated rows each give a row; very long texts are scanned whole; an
+    empty table gives an empty one; other columns are ignored, whatever their names. Ids must be whole numbers.
     """
     t = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     slim = docs.select(F.col(id_col).cast("long").alias("id"), t.alias("text"))

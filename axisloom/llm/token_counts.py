@@ -67,8 +67,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "d
 
     Returns one row for each input row: the id, ``n_bytes``, ``n_tokens`` and ``over_limit``.
     Null and empty texts have 0 bytes and 0 tokens; a null id stays null; repeated rows are
-    each counted; an empty table gives an empty table; other columns are ignored, whatever
-    their names. ``path`` is the tokenizer file as the workers see it.
+    each counted; very long texts are counted part by part; an empty table gives an empty table; other columns are ignored, whatever
+    their names. Ids must be whole numbers. ``path`` is the tokenizer file as the workers see it.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

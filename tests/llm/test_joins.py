@@ -154,6 +154,7 @@ def test_decontamination_matches_brute_force(spark):
             text[at:at] = words
         docs.append((d, "  ".join(text).upper() if d % 3 else "\n".join(text)))
     docs += [(61, None), (62, items[0][1]), (None, items[4][1]), (63, items[3][1]), (63, "x")]
+    docs += [(64, "x y " * 150_000 + items[5][1] + " z" * 100_000), (65, "long " * 400_000)]
     want = set()
     held = collections.defaultdict(set)
     for d, t in docs:

@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import os
 import zlib
 
 import duckdb
@@ -7,7 +8,7 @@ import public_tokenizers as P
 import pytest
 
 import corpus_pipeline as pipeline
-from axisloom.llm import queries
+from axisloom.llm import _io, queries
 from axisloom.llm._vocab import library
 from brute import brute_components
 
@@ -40,10 +41,21 @@ def test_pipeline_on_the_smallest_tables(spark, tmp_path):
 def test_stages_take_odd_rows(spark):
     rows = [(1, None, "en", None, 0), (2, "", None, "s", 0), (None, "the cat sat on the mat", "en", "s", 22), (3, "the cat sat on the mat", "en", "s", 22), (3, "the cat sat on the mat", "en", "s", 22)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
-    for data in (docs, docs.limit(0)):
-        for name, stage in pipeline.STAGES:
-            out = stage(spark, data, SMALL).collect()
-            assert len(out) <= len(rows), name
+    more = docs.selectExpr("*", "doc_id AS nth", "1 AS N_lines", "'x' AS component_id", "2 AS id", "text AS body", "doc_id AS leak")
+    for data in (docs, docs.limit(0), more):
+        for k, (name, stage) in enumerate(pipeline.STAGES):
+            out = stage(spark, data, SMALL)
+            assert out.count() <= len(rows), name
+            assert k == 4 or out.columns == data.columns
+    long = docs.selectExpr("doc_id", "repeat(text, 60000) AS text", "lang", "source", "n_chars")
+    for k, (_, stage) in enumerate(pipeline.STAGES):
+        assert stage(spark, long, SMALL).count() == (0, 5, 4, 5, 5)[k] or k == 0
+
+
+def test_run_drops_the_tables_between_stages(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(_io, "shared_dir", lambda spark: f"file://{tmp_path}")
+    assert pipeline.run(spark, SMALL).count() > 50
+    assert [f.split("-")[2] for f in os.listdir(tmp_path) if f.startswith("pipeline-")] == ["bpe"]
 
 
 def test_a_much_copied_page_keeps_its_text(spark):

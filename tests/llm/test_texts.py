@@ -1,5 +1,7 @@
+import collections
 import hashlib
 import html.parser
+import math
 import random
 import re
 import zlib
@@ -43,6 +45,44 @@ def test_languages(spark):
     assert {r["lang_pred"] for r in lang_id.identify(docs, nothing).collect()} == {"und"} and lang_id.identify(docs.limit(0), model).count() == 0
 
 
+def plain_features(text):
+    """The counts of hashed 1- to 3-grams of letters, character by character; other characters count as one gap."""
+    code = [0, *(ord(c) if c.isalpha() else 0 for c in text.lower()), 0]
+    counts = collections.Counter()
+    for n in range(3):
+        for at in range(len(code) - n):
+            value = code[at]
+            for c in code[at + 1 : at + n + 1]:
+                value = (value * 0x01000193 + c) % 2**32
+            if code[at] or n and code[at + n]:
+                counts[((value ^ n) * 0x9E3779B1) % 2**32 >> 21] += 1
+    length = math.sqrt(sum(counts.values()))
+    return {k: math.sqrt(v) / length for k, v in counts.items()}
+
+
+def test_predictions_match_a_plain_machine(spark):
+    """Family by the largest margin, then votes of all pairs in it, from dot products over the n-grams of a text alone."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    model = lang_id.train(docs)
+    got = {r["doc_id"]: r for r in lang_id.identify(docs, model).collect()}
+    seen = collections.Counter()
+    for r in docs.filter("length(text) < 4000").collect():
+        x = plain_features(r["text"])
+        margin = lambda w: sum(v * w[k] for k, v in x.items()) + w[-1]  # noqa: E731, B023
+        chance = lambda m: 1 / (1 + math.exp(-3 * m))
+        family, best = max(((f, margin(w)) for f, w in zip(model.families, model.family_weights, strict=True)), key=lambda p: p[1])
+        wins = collections.Counter()
+        least = collections.defaultdict(lambda: 1.0)
+        for a, b, w in model.pairs[family]:
+            p = chance(margin(w))
+            wins[a if p >= 0.5 else b] += 1
+            least[a], least[b] = min(least[a], p), min(least[b], 1 - p)
+        lang = wins.most_common(1)[0][0]
+        assert got[r["doc_id"]]["lang_pred"] == lang and abs(got[r["doc_id"]]["score"] - min(chance(best), least[lang])) < 1e-6
+        seen[lang] += 1
+    assert len(seen) == 4 and sum(seen.values()) > 100
+
+
 def test_prediction_reads_the_text_only(spark):
     docs = spark.createDataFrame([(d, t, lang) for d, t, lang in documents()], "doc_id bigint, text string, lang string")
     model = lang_id.train(docs)
