@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from axisloom.llm._io import drop_table, table
+from axisloom.llm._io import table
 from axisloom.llm._vocab import memo, pack_u16
 
 BLOCK = 256
@@ -124,13 +124,13 @@ def read_segment(payload: bytes) -> tuple[list[int | None], np.ndarray, np.ndarr
     return [None if z else k for k, z in zip(keys, null, strict=True)], lengths, ids
 
 
-def encode_texts(path: str, texts: list[bytes | None], end_id: int | None) -> list[bytes]:
-    """Ids of UTF-8 texts as unsigned 16-bit integers, cut at ASCII white space as in token_counts; ``end_id`` closes each."""
+def encode_texts(path: str, texts: list[bytes | None], end_id: int | None) -> list[np.ndarray]:
+    """Ids of UTF-8 texts, cut at ASCII white space as in token_counts; ``end_id`` closes each."""
     words_of = memo(path, pack_u16, fold=True)
     tail = b"" if end_id is None else pack_u16([end_id])
     split = [(t or b"").split() for t in texts]
     found = words_of.lookup(set().union(*split)).__getitem__
-    return [b"".join(map(found, words)) + tail for words in split]
+    return [np.frombuffer(b"".join(map(found, words)) + tail, "<u2") for words in split]
 
 
 SEGMENTS = "shard int, seq int, base long, n_docs long, n_ids long, payload binary"
@@ -139,22 +139,15 @@ SEGMENTS = "shard int, seq int, base long, n_docs long, n_ids long, payload bina
 def write_store(docs: DataFrame, path: str, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode every text and write the store to the shared folder; returns its segments.
 
-    Texts are encoded where they are read, and only ids travel. Documents are dealt by ranges of id (and a hash of the ids, so that repeats of one id still
+    Documents are dealt by ranges of id (and a hash of the text, so that repeats of one id still
     spread), sorted, and packed by each task as one shard. ``base`` counts the ids of a shard
-    before the segment. Null ids sort first; a null text is empty; a very long one is a segment of its own; equal ids sort by their tokens;
+    before the segment. Null ids sort first; a null text is empty; a very long one is a segment of its own; equal ids sort by their text;
     an empty table gives a store without segments; other columns are ignored, whatever their names. Ids must be whole numbers.
+
+    Texts are exchanged, not ids: ids written between would be read twice, for the bounds of the ranges and again.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, DOCS_AT_ONCE):
-                few = batch.slice(at, DOCS_AT_ONCE)
-                coded = encode_texts(path, few.column(1).cast(pa.binary()).to_pylist(), end_id)
-                yield pa.RecordBatch.from_arrays([few.column(0), pa.array(coded, pa.binary())], names=["id", "ids"])
-
-    coded = table(slim.mapInArrow(encode, "id long, ids binary"), "token-ids")
-    ordered = coded.withColumn("h", F.xxhash64("ids")).repartitionByRange("id", "h").sortWithinPartitions("id", "h", "ids")
+    ordered = slim.withColumn("h", F.xxhash64("text")).repartitionByRange("id", "h").sortWithinPartitions("id", "h", "text")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
@@ -170,18 +163,19 @@ def write_store(docs: DataFrame, path: str, end_id: int | None = 1, id_col: str
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["shard", "seq", "base", "n_docs", "n_ids", "payload"])
 
         for batch in batches:
-            for key, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                keys.append(key)
-                parts.append(np.frombuffer(ids.as_py(), "<u2"))
-                held += len(parts[-1])
-                if held >= SEGMENT_IDS:
-                    yield close()
+            for at in range(0, batch.num_rows, DOCS_AT_ONCE):
+                few = batch.slice(at, DOCS_AT_ONCE)
+                coded = encode_texts(path, few.column(1).cast(pa.binary()).to_pylist(), end_id)
+                for key, ids in zip(few.column(0).to_pylist(), coded, strict=True):
+                    keys.append(key)
+                    parts.append(ids)
+                    held += len(ids)
+                    if held >= SEGMENT_IDS:
+                        yield close()
         if keys:
             yield close()
 
-    store = table(ordered.select("id", "ids").mapInArrow(pack, SEGMENTS), "token-store")
-    drop_table(coded)
-    return store
+    return table(ordered.mapInArrow(pack, SEGMENTS), "token-store")
 
 
 def read_store(segments: DataFrame, id_col: str = "doc_id") -> DataFrame:
