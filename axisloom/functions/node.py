@@ -1,11 +1,12 @@
 """Nodes: what a flow computes, and how a body becomes Spark expressions.
 
-A body is one of five kinds:
+A body is one of six kinds:
 
 * ``column``: Columns in, a Column out (a tuple of them for several outputs); stays in the JVM;
 * ``aggregate``: the same over the rows of each group of kept axes;
 * ``sql``: a SQL expression over the parameter names;
-* ``python``: plain values in and out, run in Arrow batches; reduced inputs come as arrays;
+* ``python``: plain values in and out, called cell by cell in Arrow batches; reduced inputs come as arrays;
+* ``batch``: a pandas Series for each argument in, one of the same length for each output out; one call for a whole Arrow batch;
 * ``arrays``: like ``column``, giving an array (nested once for each created axis) to spread out.
 """
 
@@ -21,7 +22,9 @@ from typing import Any
 from axisloom.plans.spec import ArrayRef, IndexSpec
 from axisloom.plans.types import Missing
 
-KINDS = ("column", "aggregate", "sql", "python", "arrays")
+KINDS = ("column", "aggregate", "sql", "python", "batch", "arrays")
+#: Kinds whose bodies Spark can't see into.
+OPAQUE = ("python", "batch")
 
 
 def _names(out: str | Iterable[str]) -> tuple[str, ...]:

@@ -9,6 +9,10 @@ group as an array in the order of the reduced axes. Nothing is collected on the
 from __future__ import annotations
 
 import math
+import reprlib
+import socket
+import time
+import traceback
 from collections.abc import Callable, Mapping
 from typing import Any
 
@@ -18,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from axisloom.functions.node import Node
+from axisloom.functions.node import OPAQUE, Node
 from axisloom.operators.frame import AxisFrame, in_order
 from axisloom.plans.spec import notation
 
@@ -27,17 +31,26 @@ BROADCAST_CELLS = 100_000
 #: A product of known sizes above this is refused.
 PRODUCT_CELLS = 10**12
 
-ERROR = "struct<kind:string,node:string,type:string,message:string,reason:string,count:bigint>"
+#: What a failed call says of itself, and the whole record. ``arguments`` shows each one, long ones shortened.
+FAILED = {"failed": "string", "message": "string", "arguments": "map<string,string>", "traceback": "string", "host": "string", "at": "double"}
+ERROR = "struct<kind:string,node:string,type:string,message:string,reason:string,count:bigint,arguments:map<string,string>,traceback:string,host:string,at:double>"
+SHOWN = reprlib.Repr(maxstring=200, maxother=200, maxlist=20, maxtuple=20, maxdict=20)
 
 
-def own_error(node: str, kind: Column, message: Column) -> Column:
+def own_error(node: str, held: Column) -> Column:
     """Record of a call that failed."""
-    return F.struct(F.lit("error").alias("kind"), F.lit(node).alias("node"), kind.alias("type"), message.alias("message"), F.lit(None).cast("string").alias("reason"), F.lit(1).cast("bigint").alias("count"))
+    more = [held[k].alias(k) for k in ("arguments", "traceback", "host", "at")]
+    return F.struct(F.lit("error").alias("kind"), F.lit(node).alias("node"), held["failed"].alias("type"), held["message"].alias("message"), F.lit(None).cast("string").alias("reason"), F.lit(1).cast("bigint").alias("count"), *more)
+
+
+def _failure(e: Exception, args: Mapping[str, Any]) -> tuple:
+    """What to keep of a failed call, in the order of ``FAILED``."""
+    return type(e).__name__, str(e), {k: SHOWN.repr(v) for k, v in args.items()}, "".join(traceback.format_exception(e)), socket.gethostname(), time.time()
 
 
 def passed_on(node: str, reason: str, count: Column) -> Column:
     """Record of a call that was skipped because of errors in its inputs."""
-    return F.struct(F.lit("propagated").alias("kind"), F.lit(node).alias("node"), F.lit(None).cast("string").alias("type"), F.lit(None).cast("string").alias("message"), F.lit(reason).alias("reason"), count.cast("bigint").alias("count"))
+    return F.struct(F.lit("propagated").alias("kind"), F.lit(node).alias("node"), F.lit(None).cast("string").alias("type"), F.lit(None).cast("string").alias("message"), F.lit(reason).alias("reason"), count.cast("bigint").alias("count"), *[F.lit(None).cast(t).alias(k) for k, t in FAILED.items() if k in ("arguments", "traceback", "host", "at")])
 
 
 def _cells(frame: AxisFrame) -> int | None:
@@ -83,7 +96,7 @@ def _python(node: Node, types: list[str], names: list[str], ranks: Mapping[str,
     """The body as an Arrow-batched function from columns to a struct of outputs (and of an error)."""
     fields = [f"o{k}:{t}" for k, t in enumerate(types)]
     if keep_errors:
-        fields += ["failed:string", "message:string"]
+        fields += [f"{k}:{t}" for k, t in FAILED.items()]
     outs = node.out
 
     def one(args: dict[str, Any]) -> tuple:
@@ -99,9 +112,9 @@ def _python(node: Node, types: list[str], names: list[str], ranks: Mapping[str,
             args = {**plain, **{n: _arg(c, ranks.get(n, 0)) for n, c in zip(names, cells, strict=True)}}
             if keep_errors:
                 try:
-                    rows.append((*one(args), None, None))
+                    rows.append((*one(args), *[None] * len(FAILED)))
                 except Exception as e:  # noqa: BLE001  errors of bodies are data here
-                    rows.append((*[None] * len(outs), type(e).__name__, str(e)))
+                    rows.append((*[None] * len(outs), *_failure(e, args)))
             else:
                 rows.append(one(args))
         return pd.DataFrame({f.split(":")[0]: pd.Series([r[k] for r in rows], dtype=object) for k, f in enumerate(fields)})
@@ -109,6 +122,52 @@ def _python(node: Node, types: list[str], names: list[str], ranks: Mapping[str,
     return F.pandas_udf(run, T._parse_datatype_string(f"struct<{','.join(fields)}>"))
 
 
+def _batched(node: Node, types: list[str], names: list[str], ranks: Mapping[str, int], plain: Mapping[str, Any], keep_errors: bool) -> Callable[..., Column]:
+    """The body over whole Arrow batches: a pandas Series for each argument in, one for each output back.
+
+    Cells whose inputs hold errors don't reach the body. Where a batch fails and errors are kept, its cells are called one by one.
+    """
+    fields = [f"o{k}:{t}" for k, t in enumerate(types)]
+    if keep_errors:
+        fields += [f"{k}:{t}" for k, t in FAILED.items()]
+    outs = node.out
+
+    def call(args: dict[str, Any], index: pd.Index) -> list[pd.Series]:
+        result = node(**plain, **args)
+        series = [pd.Series(node.pick(result, o)) for o in outs]
+        if any(len(s) != len(index) for s in series):
+            raise ValueError(f"{node.name} gave {[len(s) for s in series]} cells for {len(index)}")
+        return [s.set_axis(index) for s in series]
+
+    def run(skip: pd.Series, *series: pd.Series) -> pd.DataFrame:
+        given = {n: s.map(lambda c, r=ranks.get(n, 0): _arg(c, r)) if ranks.get(n) else s for n, s in zip(names, series, strict=True)}
+        index = skip.index[~skip.astype(bool)]
+        out = pd.DataFrame({f.split(":")[0]: pd.Series([None] * len(skip), skip.index, object) for f in fields})
+        if not len(index):
+            return out
+        try:
+            for k, s in enumerate(call({n: s.loc[index] for n, s in given.items()}, index)):
+                if len(index) == len(skip):
+                    out[f"o{k}"] = s
+                else:
+                    out.loc[index, f"o{k}"] = s.astype(object)
+        except Exception:
+            if not keep_errors:
+                raise
+            for i in index:
+                one = {n: s.loc[[i]] for n, s in given.items()}
+                try:
+                    values = [s.loc[i] for s in call(one, pd.Index([i]))]
+                    for k, v in enumerate(values):
+                        out.at[i, f"o{k}"] = _out(v)
+                except Exception as e:  # noqa: BLE001  errors of bodies are data here
+                    for f, v in zip(FAILED, _failure(e, {n: s.loc[i] for n, s in one.items()}), strict=True):
+                        out.at[i, f] = v
+        return out
+
+    return F.pandas_udf(run, T._parse_datatype_string(f"struct<{','.join(fields)}>"))
+
+
 def _arg(cell: Any, rank: int) -> Any:
     """A reduced argument arrives as (index, value) cells; its array is as large as the largest index."""
     if not rank:
@@ -150,8 +209,8 @@ def compile_node(spark: Any, node: Node, values: Mapping[str, Any], *, keep_erro
     for p, f in frames.items():
         if not aggregate and gone[p]:
             f = _gathered(f, gone[p], p)
-            ranks[p] = len(gone[p]) if node.kind == "python" else 0
-            if node.kind != "python":
+            ranks[p] = len(gone[p]) if node.kind in OPAQUE else 0
+            if node.kind not in OPAQUE:
                 f = f.with_df(f.df.withColumn(p, F.transform(column(p), lambda c: c["v"])))
         joined.append(f)
     if joined:
@@ -160,7 +219,7 @@ def compile_node(spark: Any, node: Node, values: Mapping[str, Any], *, keep_erro
         df, sizes = spark.range(1).drop("id"), {}
 
     names = [p for p in node.free if p in frames]
-    args: dict[str, Any] = {p: column(p) for p in names} | {p: (v if node.kind == "python" else _literal(v)) for p, v in plain.items()}
+    args: dict[str, Any] = {p: column(p) for p in names} | {p: (v if node.kind in OPAQUE else _literal(v)) for p, v in plain.items()}
     bad = _error_of_inputs(node, frames, gone, errors, aggregate)
 
     if aggregate:
@@ -177,13 +236,15 @@ def compile_node(spark: Any, node: Node, values: Mapping[str, Any], *, keep_erro
             for p, v in {**plain, **node.defaults, **node.bound}.items():
                 if p not in names:
                     df = df.withColumn(p, _literal(v))
-        elif node.kind == "python":
+        elif node.kind in OPAQUE:
             if node.returns is None:
                 raise ValueError(f"{node.name} needs the Spark types it returns")
             types = list(node.returns)
             if created:
                 types = [_nested(t, len(created)) for t in types]
-            run = _python(node, types, names, ranks, plain, keep_errors)
+            if not names and node.kind == "batch":
+                raise ValueError(f"{node.name} takes no arrays, so there are no batches; use a python body")
+            run = (_python if node.kind == "python" else _batched)(node, types, names, ranks, plain, keep_errors)
             held = run(F.lit(False) if bad is None else bad.isNotNull(), *[column(p) for p in names])
         else:
             result = node(**args)
@@ -191,7 +252,7 @@ def compile_node(spark: Any, node: Node, values: Mapping[str, Any], *, keep_erro
             held = F.struct(*[(c if isinstance(c, Column) else _literal(c)).alias(f"o{k}") for k, c in enumerate(outs)])
         axes = [column(a) for a in kept]
         if bad is not None:  # CASE keeps native bodies off rows with errors
-            held = held if node.kind == "python" else F.when(bad.isNull(), held)
+            held = held if node.kind in OPAQUE else F.when(bad.isNull(), held)
             df = df.select(*axes, held.alias("_s"), bad.alias("_bad"))
         else:
             df = df.select(*axes, held.alias("_s"))
@@ -199,7 +260,7 @@ def compile_node(spark: Any, node: Node, values: Mapping[str, Any], *, keep_erro
     error = None
     fields = {f.name for f in df.schema["_s"].dataType.fields}
     if keep_errors and ("failed" in fields or "_bad" in df.columns):
-        failed = F.when(column("_s")["failed"].isNotNull(), own_error(node.name, column("_s")["failed"], column("_s")["message"])) if "failed" in fields else F.lit(None).cast(ERROR)
+        failed = F.when(column("_s")["failed"].isNotNull(), own_error(node.name, column("_s"))) if "failed" in fields else F.lit(None).cast(ERROR)
         df = df.withColumn("_error", F.coalesce(column("_bad") if "_bad" in df.columns else F.lit(None).cast(ERROR), failed))
         error = "_error"
     sparse = any(f.sparse for f in joined)
@@ -214,7 +275,7 @@ def compile_node(spark: Any, node: Node, values: Mapping[str, Any], *, keep_erro
         else:
             out[o] = AxisFrame(df.select(*kept, value.alias(o)), o, kept, known, sparse)
         if created:
-            out[o] = spread(out[o], created, out_axes, check=check and not sparse)
+            out[o] = spread(out[o], created, out_axes, check=check and not sparse, once=node.kind in OPAQUE)
         elif out[o].axes != tuple(out_axes):
             out[o] = out[o].with_df(out[o].df, axes=tuple(out_axes))
     return out
@@ -265,11 +326,22 @@ def _error_of_inputs(node: Node, frames: Mapping[str, AxisFrame], gone: Mapping[
     return F.coalesce(*found) if found else None
 
 
-def spread(f: AxisFrame, created: tuple[str, ...], out_axes: tuple[str, ...], *, check: bool = True) -> AxisFrame:
+def _lengths(c: Column, depth: int) -> list[Column]:
+    """The length of an array, then of all arrays in it put together, level by level."""
+    found = [F.size(c)]
+    for _ in range(depth - 1):
+        c = F.flatten(c)
+        found.append(F.size(c))
+    return found
+
+
+def spread(f: AxisFrame, created: tuple[str, ...], out_axes: tuple[str, ...], *, check: bool = True, once: bool = False) -> AxisFrame:
     """One row for each element of an array cell, with its position as a new axis; nested for several.
 
     All arrays along a new axis must have one length, which is checked as rows pass where ``check``
-    holds: arrays of another length than the first of all make the job fail.
+    holds: arrays of another length than others make the job fail. The lengths are a plan of their own. With ``once`` (bodies that are
+    opaque, dear or random) both plans read one exchange of the arrays, so that the body runs once for each cell;
+    native bodies are computed again for their lengths alone, without an exchange.
     """
     df, name = f.df, f.name
     keep = [column(a) for a in f.axes] + ([column(f.error)] if f.error else [])
@@ -277,9 +349,21 @@ def spread(f: AxisFrame, created: tuple[str, ...], out_axes: tuple[str, ...], *,
         # an error cell stands for its whole inner array, so it stays one row with index 0
         df = df.withColumn(name, F.when(column(f.error).isNotNull(), F.array(F.lit(None).cast(df.schema[name].dataType.elementType))).otherwise(column(name)))
     if check and f.axes and not f.error:
-        one = df.agg(F.min(F.size(column(name))).alias("_least"), F.max(F.size(column(name))).alias("_most"))
+        mark = F.hash(*[column(a) for a in f.axes])
+        if once:  # both plans need the same columns, so that they share the exchange
+            df = df.repartition(*[column(a) for a in f.axes])
+        lengths = _lengths(column(name), len(created))
+        ends = [g(n).alias(f"_{g.__name__}{k}") for k, n in enumerate(lengths) for g in (F.min, F.max)]
+        one = df.agg(*ends, *([F.max(mark).alias("_mark")] if once else []))
         df = df.crossJoin(F.broadcast(one))  # one row
-        df = df.filter(F.coalesce(F.assert_true(column("_least") == column("_most"), F.lit(f"arrays of {name} differ in length")).isNull(), F.lit(True)))
+        even = F.lit(True)
+        for k in range(len(created)):
+            even = even & (column(f"_min{k}") == column(f"_max{k}"))
+        if once:
+            even = even & (mark <= column("_mark"))
+        kind = df.schema[name].dataType
+        uneven = F.raise_error(F.lit(f"arrays of {name} differ in length")).cast(kind)
+        df = df.withColumn(name, F.when(even, column(name)).otherwise(uneven))
     for a in created:
         df = df.select(*keep, F.posexplode(column(name)).alias(a, name)).withColumn(a, column(a).cast("bigint"))
         keep.append(column(a))

@@ -8,6 +8,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +42,8 @@ class AxisFrame:
         if isinstance(values, range) and len(axes) == 1 and dtype in (None, "bigint", "long"):
             df = spark.range(len(values)).select(F.col("id").alias(axes[0]), (F.col("id") * values.step + values.start).alias(name))
             return cls(df, name, axes, {axes[0]: len(values)})
+        if dtype is None and (columns := _flat_columns(values, axes, shape, name)) is not None:
+            return cls(spark.createDataFrame(columns), name, axes, dict(zip(axes, map(int, shape), strict=True)))
         cells: list = list(values) if not isinstance(values, np.ndarray) else list(values.reshape(-1, *values.shape[len(axes) :]))
         if not isinstance(values, np.ndarray):
             for _ in axes[1:]:
@@ -114,8 +117,8 @@ class AxisFrame:
 
     def to_numpy(self, fill: Any = None) -> np.ndarray:
         """All cells as a dense array on the driver; missing ones are masked, or ``fill``."""
-        shape = self.shape()
         rows = self.df.select(*[f"`{a}`" for a in self.axes], f"`{self.name}`").collect()
+        shape = tuple(self.sizes[a] if a in self.sizes else max((r[k] for r in rows), default=-1) + 1 for k, a in enumerate(self.axes))
         out = np.empty(shape, object)
         seen = np.zeros(shape, bool)
         for r in rows:
@@ -129,6 +132,28 @@ class AxisFrame:
         return np.ma.MaskedArray(out, ~seen, dtype=object)
 
 
+def _flat_columns(values: Any, axes: tuple[str, ...], shape: tuple[int, ...], name: str) -> pa.Table | None:
+    """Index and value columns of plain numbers, texts or truth values, made without a Python object for each cell; None for other cells."""
+    if isinstance(values, np.ma.MaskedArray):
+        return None
+    if isinstance(values, np.ndarray):
+        if values.ndim != len(axes) or values.dtype.kind not in "iufb":
+            return None
+        flat = pa.array(np.ascontiguousarray(values).ravel())
+    elif len(axes) == 1 and isinstance(values, list) and len({type(v) for v in values}) == 1 and isinstance(values[0], (int, float, str)):
+        try:
+            flat = pa.array(values)
+        except (pa.ArrowInvalid, OverflowError):
+            return None
+    else:
+        return None
+    if flat.type in (pa.float16(), pa.float32()):
+        flat = flat.cast(pa.float64())
+    elif pa.types.is_integer(flat.type):
+        flat = flat.cast(pa.int64())
+    return pa.table([*(pa.array(i.ravel()) for i in np.indices(shape, np.int64)), flat], names=[*axes, name])
+
+
 def index_filter(column: Column, k: int | slice, size: int | None, axis: str) -> Column:
     """A predicate for an index or slice; negative ones need the size."""
     if isinstance(k, slice):
@@ -182,8 +207,8 @@ def unravel(linear: Column, axes: Iterable[str], shape: Iterable[int]) -> list[C
     """Index columns of a row-major position."""
     from axisloom.plans.spec import strides
 
-    shape = tuple(shape)
-    return [(F.floor(linear / s) % n).cast("bigint").alias(a) for a, s, n in zip(axes, strides(shape), shape, strict=True)]
+    shape, whole = tuple(shape), linear.cast("bigint")
+    return [F.pmod(F.call_function("div", whole, F.lit(s).cast("bigint")), F.lit(n).cast("bigint")).alias(a) for a, s, n in zip(axes, strides(shape), shape, strict=True)]
 
 
 def in_order(value: Column, axes: Iterable[str]) -> Column:
