@@ -45,7 +45,7 @@ def own_error(node: str, held: Column) -> Column:
 
 def _failure(e: Exception, args: Mapping[str, Any]) -> tuple:
     """What to keep of a failed call, in the order of ``FAILED``."""
-    return type(e).__name__, str(e), {k: SHOWN.repr(v) for k, v in args.items()}, "".join(traceback.format_exception(e)), socket.gethostname(), time.time()
+    return type(e).__name__, str(e), {k: SHOWN.repr(v.item() if isinstance(v, np.generic) else v) for k, v in args.items()}, "".join(traceback.format_exception(e)), socket.gethostname(), time.time()
 
 
 def passed_on(node: str, reason: str, count: Column) -> Column:

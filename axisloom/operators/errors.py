@@ -38,7 +38,8 @@ def reproduce(node: Node, row: Any, **plain: Any) -> Any:
 def root_causes(flow: Flow, frames: Mapping[str, AxisFrame], name: str) -> DataFrame:
     """For each skipped cell of an output the errors that it goes back to: its axes, ``cause`` (an output) and ``error``.
 
-    Errors inside a reduced array are causes of every cell of the output they share axes with.
+    Errors inside a reduced array are causes of every cell of the output they share axes with. Where they share no
+    axis, they are causes of all skipped cells alike, and stand once, with null axes.
     """
     skipped = failures(frames[name]).filter("error.kind = 'propagated'").drop("error")
     out: DataFrame | None = None
@@ -48,7 +49,12 @@ def root_causes(flow: Flow, frames: Mapping[str, AxisFrame], name: str) -> DataF
             continue
         shared = [a for a in f.axes if a in frames[name].axes]
         origin = failures(f).filter("error.kind = 'error'").withColumn("cause", F.lit(up)).select(*shared, "cause", "error")
-        found = skipped.join(origin, shared) if shared else skipped.crossJoin(origin)
+        if shared:
+            found = skipped.join(origin, shared)
+        else:
+            found = origin
+            for a in frames[name].axes:
+                found = found.withColumn(a, F.lit(None).cast(frames[name].df.schema[a].dataType))
         found = found.select(*[f"`{a}`" for a in frames[name].axes], "cause", "error")
         out = found if out is None else out.unionByName(found)
     if out is None:

@@ -52,9 +52,16 @@ class Results:
         return Results(self.flow, frames, self.outputs, self.run, self.cached)
 
     def unpersist(self) -> None:
+        """Let go of what was kept for several readers."""
         for df in self.cached:
             df.unpersist()
 
+    def __enter__(self) -> Results:
+        return self
+
+    def __exit__(self, *_: Any) -> None:
+        self.unpersist()
+
 
 def _flat(flow: Flow, inputs: Mapping[str, Any]) -> dict[str, Any]:
     out: dict[str, Any] = {}

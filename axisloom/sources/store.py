@@ -1,11 +1,17 @@
-"""Run folders: a manifest and one Parquet table for each output."""
+"""Run folders: versions of a manifest, and for each output batches of cells, each a table of its own.
+
+A batch counts from the moment a manifest names it, and a new manifest stands beside the old one before
+that goes. So a run that dies at any point leaves what the last manifest tells, and nothing is read twice.
+"""
 
 from __future__ import annotations
 
 import hashlib
 import inspect
 import json
+import re
 import time
+import uuid
 from collections.abc import Callable, Mapping
 from typing import Any
 
@@ -16,8 +22,8 @@ from axisloom.functions.node import Node
 from axisloom.operators.frame import AxisFrame, space
 from axisloom.plans.spec import UNKNOWN, IndexSpec
 
-MANIFEST = "manifest.json"
-VERSION = 1
+MANIFEST = "manifest"
+VERSION = 2
 
 
 #: Storage kinds: how a frame is written to a folder and read back with its schema.
@@ -97,31 +103,52 @@ class RunFolder:
         finally:
             stream.close()
 
+    def _list(self, path: str) -> list[str]:
+        """Names in a folder; none where it isn't there."""
+        fs, p = self._fs(path)
+        return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
     def _write_text(self, path: str, text: str) -> None:
+        """Write a new file whole: under another name first, then renamed."""
         fs, p = self._fs(path)
-        part, other = f"{path}.part", None
-        fs, other = self._fs(part)
-        stream = fs.create(other, True)
+        _, part = self._fs(f"{path}.part")
+        stream = fs.create(part, True)
         try:
             stream.write(bytearray(text.encode("utf-8")))
         finally:
             stream.close()
-        fs.delete(p, False)
-        fs.rename(other, p)
+        if not fs.rename(part, p):
+            raise OSError(f"can't write {path}")
 
     # the manifest
 
     def load(self) -> dict[str, Any]:
         """The manifest as it stands."""
-        self.manifest = json.loads(self._read_text(f"{self.path}/{MANIFEST}"))
+        found = self._versions()
+        if not found:
+            raise FileNotFoundError(f"{self.path} holds no run")
+        self.manifest = json.loads(self._read_text(f"{self.path}/{MANIFEST}-{found[-1]}.json"))
         return self.manifest
 
+    def _versions(self) -> list[int]:
+        return sorted(int(m[1]) for name in self._list(self.path) if (m := re.fullmatch(rf"{MANIFEST}-(\d+)\.json", name)))
+
+    def is_run(self) -> bool:
+        """Whether the folder holds a run."""
+        return bool(self._versions())
+
     def _save(self) -> None:
         self.manifest["updated"] = time.time()
-        self._write_text(f"{self.path}/{MANIFEST}", json.dumps(self.manifest, indent=1))
+        old = self._versions()
+        self._write_text(f"{self.path}/{MANIFEST}-{old[-1] + 1 if old else 1}.json", json.dumps(self.manifest, indent=1))
+        for k in old:
+            self._delete(f"{self.path}/{MANIFEST}-{k}.json")
 
     def open(self, flow: Any, inputs: Mapping[str, Any], *, errors: str, resume: bool, validation: str) -> None:
-        """Begin a run, or resume one that matches; without ``resume`` the folder starts empty."""
+        """Begin a run, or resume one that matches.
+
+        Without ``resume`` an earlier run in the folder goes. A folder with anything else in it is refused and left as it is.
+        """
         if validation not in ("auto", "strict", "skip"):
             raise ValueError(f"validation can't be {validation!r}")
         shapes: dict[str, Any] = {}
@@ -138,7 +165,13 @@ class RunFolder:
             "bodies": {",".join(n.out): body_digest(n) for n in flow.order()},
             "outputs": {},
         }
-        if not resume or not self._exists(f"{self.path}/{MANIFEST}"):
+        if not self.is_run():
+            if self._list(self.path):
+                raise ResumeError(f"{self.path} holds files, but no run")
+            self.manifest = new | {"created": time.time()}
+            self._save()
+            return
+        if not resume:
             self._delete(self.path)
             self.manifest = new | {"created": time.time()}
             self._save()
@@ -165,26 +198,40 @@ class RunFolder:
         return f"{self.path}/outputs/{name}"
 
     def stored(self, name: str) -> AxisFrame | None:
-        """An output as far as it was written; cells that failed are not counted as there."""
+        """An output as far as it was written. Of a cell that failed and was computed again, the newer one."""
         meta = self.manifest["outputs"].get(name)
-        if meta is None or not self._exists(self.table(name)):
+        if meta is None:
             return None
-        df = storage(meta["kind"])[1](self.spark, self.table(name), meta["schema"])
+        batches = [storage(meta["kind"])[1](self.spark, f"{self.table(name)}/{b}", meta["schema"]) for b in meta["batches"]]
+        df = batches[-1]
+        for older in reversed(batches[:-1]):
+            if meta["error"]:
+                failed = F.col(f"`{meta['error']}`").isNotNull()
+                older = older.filter(~failed).unionByName(older.filter(failed).join(df.select(*meta["axes"]), meta["axes"], "left_anti"))
+            df = older.unionByName(df)
         return AxisFrame(df, name, tuple(meta["axes"]), dict(meta["sizes"]), meta["sparse"], meta["error"])
 
+    def there(self, name: str) -> DataFrame | None:
+        """Indices of the cells of an output that were written and didn't fail."""
+        f = self.stored(name)
+        if f is None:
+            return None
+        good = f.df.filter(F.col(f"`{f.error}`").isNull()) if f.error else f.df
+        return good.select(*[f"`{a}`" for a in f.axes])
+
     def only_missing(self, n: Node, args: dict[str, Any]) -> dict[str, Any]:
-        """Inputs of a node without the cells for which all its outputs are there.
+        """Inputs of a node without the cells for which all its outputs are there; cells that failed are computed again.
 
         Works where one input has all mapped axes; a node that reduces, creates axes or has no axes
         is computed anew unless everything is there.
         """
-        found = [self.stored(o) for o in n.out]
+        found = [self.there(o) for o in n.out]
         if n.spec is None or n.spec.created or not n.spec.mapped or any(f is None for f in found):
             return args
         axes = list(n.spec.mapped)
-        there = found[0].df.select(*axes)
+        there = found[0].select(*axes)
         for f in found[1:]:
-            there = there.join(f.df.select(*axes), axes, "left_semi")
+            there = there.join(f.select(*axes), axes, "left_semi")
         for r in n.spec.inputs:
             f = args.get(r.name)
             if isinstance(f, AxisFrame) and set(axes) <= set(r.places):
@@ -197,19 +244,59 @@ class RunFolder:
         """Write a node's outputs, those there before kept; returns frames that read them back."""
         out = {}
         for o, f in made.items():
-            before = self.stored(o)
-            kind = self.kinds.get(o, self.kinds[""]) if before is None else self.manifest["outputs"][o]["kind"]
-            put = storage(kind)[0]
-            if before is not None and n.spec is not None and n.spec.mapped and not n.spec.created:
-                new = f.df.join(before.df.select(*f.axes), list(f.axes), "left_anti") if f.axes else f.df
-                put(new, self.table(o), "append")
-            else:
-                put(f.df, self.table(o), "overwrite")
-            self.manifest["outputs"][o] = {"kind": kind, "axes": list(f.axes), "sizes": dict(f.sizes), "sparse": f.sparse, "error": f.error, "schema": _ddl(f.df)}
-            self._save()
+            known = self.manifest["outputs"].get(o)
+            more = known is not None and n.spec is not None and n.spec.mapped and not n.spec.created
+            kind = known["kind"] if known else self.kinds.get(o, self.kinds[""])
+            new = f.df.join(self.there(o), list(f.axes), "left_anti") if more else f.df
+            self._add(o, new, f, kind, known["batches"] if more else [])
+            if known and not more:
+                self._forget(o, known["batches"])
             out[o] = self.stored(o)
         return out
 
+    def _add(self, name: str, df: DataFrame, f: AxisFrame, kind: str, before: list[str]) -> None:
+        """Write a batch, then name it in the manifest."""
+        batch = f"batch-{len(before)}-{uuid.uuid4().hex}"
+        storage(kind)[0](df, f"{self.table(name)}/{batch}", "errorifexists")
+        self.manifest["outputs"][name] = {"kind": kind, "axes": list(f.axes), "sizes": dict(f.sizes), "sparse": f.sparse, "error": f.error, "schema": _ddl(df), "batches": [*before, batch]}
+        self._save()
+
+    def _forget(self, name: str, batches: list[str]) -> None:
+        for b in batches:
+            self._delete(f"{self.table(name)}/{b}")
+
+    # single cells
+
+    def _at(self, name: str, key: tuple[int, ...]) -> DataFrame:
+        f = self.outputs(name)
+        if len(key) != len(f.axes):
+            raise ValueError(f"{name!r} has the axes {f.axes}, not {len(key)} of them")
+        return f.at(**dict(zip(f.axes, key, strict=True))).df
+
+    def has(self, name: str, *key: int) -> bool:
+        """Whether a cell was written and didn't fail."""
+        f = self.outputs(name)
+        found = self._at(name, key)
+        return not (found.filter(F.col(f"`{f.error}`").isNull()) if f.error else found).isEmpty()
+
+    def cell(self, name: str, *key: int) -> Any:
+        """The value of a cell; an error where there is none. The filter reaches the scan."""
+        row = self._at(name, key).select(f"`{name}`").first()
+        if row is None:
+            raise KeyError(f"{name!r} has no cell at {key}")
+        return row[0]
+
+    def put(self, name: str, values: DataFrame | Mapping[tuple[int, ...], Any]) -> None:
+        """Add cells that aren't there yet, as one batch: a table of axes and value, or a few cells by index."""
+        f = self.outputs(name)
+        meta = self.manifest["outputs"][name]
+        if not isinstance(values, DataFrame):
+            values = self.spark.createDataFrame([(*k, v) for k, v in values.items()], ", ".join([*(f"`{a}` bigint" for a in f.axes), f"`{name}` {f.df.schema[name].dataType.simpleString()}"]))
+        new = values.select(*[F.col(f"`{c}`").cast(f.df.schema[c].dataType) for c in (*f.axes, name)])
+        if f.error:
+            new = new.withColumn(f.error, F.lit(None).cast(f.df.schema[f.error].dataType))
+        self._add(name, new.join(self.there(name), list(f.axes), "left_anti").select(*f.df.columns), f, meta["kind"], meta["batches"])
+
     def outputs(self, *names: str) -> Any:
         """Stored outputs: one name gives its frame, several a list, none a dict of all."""
         self.load()
@@ -222,7 +309,7 @@ class RunFolder:
 
     def write_input(self, f: AxisFrame) -> None:
         """Keep an input that was given as plain values, so that tables can be labelled with it."""
-        f.df.write.mode("overwrite").parquet(f"{self.path}/inputs/{f.name}")
+        f.df.write.mode("overwrite").parquet(f"{self.path}/inputs/{f.name}")  # the same values again where a run is resumed
         self.manifest.setdefault("arrays", {})[f.name] = {"axes": list(f.axes), "sizes": dict(f.sizes), "schema": _ddl(f.df)}
         self._save()
 
@@ -250,7 +337,7 @@ class RunFolder:
         return space(self.spark, sizes).join(f.df.select(*f.axes), list(f.axes), "left_anti")
 
     def status(self) -> DataFrame:
-        """One row for each output of the run's specs: cells stored, cells in all (null if not known), and a word for it."""
+        """One row for each output of the run's specs: cells stored and failed, cells in all (null if not known), and a word for it."""
         self.load()
         rows = []
         for name, shape in self.manifest["shapes"].items():
@@ -260,8 +347,9 @@ class RunFolder:
                 total *= n
             if name in self.manifest["inputs"]:
                 continue
-            rows.append((name, 0 if f is None else f.df.count(), total))
-        df = self.spark.createDataFrame(rows, "output string, stored bigint, total bigint")
+            counts = (0, 0) if f is None else tuple(f.df.agg(F.count("*"), F.count(f"`{f.error}`") if f.error else F.lit(0)).first())
+            rows.append((name, counts[0] - counts[1], counts[1], total))
+        df = self.spark.createDataFrame(rows, "output string, stored bigint, failed bigint, total bigint")
         word = F.when(F.col("stored") == 0, "missing").when(F.col("total").isNull() | (F.col("stored") >= F.col("total")), "complete").otherwise("incomplete")
         return df.withColumn("state", word)
 
@@ -279,6 +367,6 @@ def list_runs(spark: SparkSession, folder: str, most: int | None = None) -> list
     found = []
     for s in fs.listStatus(p):
         run = RunFolder(spark, s.getPath().toString())
-        if run._exists(f"{run.path}/{MANIFEST}"):
+        if run.is_run():
             found.append({"path": run.path, **run.load()})
     return sorted(found, key=lambda m: -m["updated"])[:most]

@@ -79,15 +79,24 @@ def running_stats(df: DataFrame, by: str, value: str) -> DataFrame:
 
 def write_heartbeat(spark: SparkSession, folder: str, progress: Mapping[str, Any]) -> None:
     """Note the progress of a run in its folder."""
-    RunFolder(spark, folder)._write_text(f"{folder.rstrip('/')}/heartbeat.json", json.dumps({"at": time.time(), "progress": dict(progress)}))
+    run, path = RunFolder(spark, folder), f"{folder.rstrip('/')}/heartbeat"
+    note = f"{path}-{time.time_ns():020d}.json"
+    run._write_text(note, json.dumps({"at": time.time(), "progress": dict(progress)}))
+    for old in _notes(run):
+        if f"{run.path}/{old}" < note:
+            run._delete(f"{run.path}/{old}")
+
+
+def _notes(run: RunFolder) -> list[str]:
+    return sorted(n for n in run._list(run.path) if n.startswith("heartbeat-") and n.endswith(".json"))
 
 
 def read_heartbeat(spark: SparkSession, folder: str, now: float | None = None) -> dict[str, Any] | None:
     """The last note, its age, and whether it is stale."""
     run = RunFolder(spark, folder)
-    path = f"{run.path}/heartbeat.json"
-    if not run._exists(path):
+    notes = _notes(run)
+    if not notes:
         return None
-    found = json.loads(run._read_text(path))
+    found = json.loads(run._read_text(f"{run.path}/{notes[-1]}"))
     age = (time.time() if now is None else now) - found["at"]
     return found | {"age": age, "stale": age > STALE_AFTER}
