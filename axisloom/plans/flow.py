@@ -224,10 +224,9 @@ class Flow:
         spec = self.node(out).spec
         if spec is None:
             return ()
-        needed = {out, *self.upstream(out)}
-        makers = self.makers()
-        created = {a for o in needed if makers[o].spec for a in makers[o].spec.created}
-        gone = {a for name, axes in self.reduced().items() if name in needed or name in self.roots(out) for a in axes}
+        way = self.sub(outputs=[out])  # what reads the output, or reduces it later, doesn't count
+        created = {a for n in way.nodes if n.spec for a in n.spec.created}
+        gone = {a for axes in way.reduced().values() for a in axes}
         return tuple(a for a in spec.axes if a not in created | gone)
 
     def shapes(self, inputs: Mapping[str, Any], internal: Mapping[str, tuple] | None = None) -> dict[str, tuple]:

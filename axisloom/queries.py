@@ -7,21 +7,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from axisloom.functions.cache import once_for_each
 from axisloom.functions.node import Node, attribute, gather, nest
 from axisloom.operators.compile import compile_node
 from axisloom.operators.frame import AxisFrame, linear_index, space, unravel
-from axisloom.operators.table import cast, composite, split_composite
+from axisloom.operators.table import assemble, cast, composite, split_composite
 from axisloom.plans.flow import Flow, VariantFlow
+from axisloom.sources.store import RunFolder, list_runs, scratch_folder
 from axisloom.sources.sweep import Sweep, cache_plan, count_calls
-from axisloom.sources.tables import read_table
+from axisloom.sources.tables import ByReference, read_table
 from axisloom.streaming.events import sessions, windowed
-from axisloom.streaming.status import running_stats
+from axisloom.streaming.status import Status, running_stats
 
 Query = Callable[[SparkSession, str], DataFrame]
 CATALOGUE: dict[str, tuple[Query, str]] = {}
@@ -73,18 +72,13 @@ def map_nd(spark: SparkSession, d: str) -> DataFrame:
     return flow.map(spark, {"text": text})["chars"].df
 
 
-@query("SELECT l_orderkey AS o, l_extendedprice * (1 - l_discount) AS net, l_extendedprice * (1 - l_discount) * (1 + l_tax) AS gross FROM lineitem")
+@query("SELECT o_orderkey AS o, o_totalprice / 1.25 AS net, o_totalprice - o_totalprice / 1.25 AS tax FROM orders")
 def map_multi_output(spark: SparkSession, d: str) -> DataFrame:
-    """Two outputs of one body, evaluated once as a struct."""
-    cells = AxisFrame.from_table(_lineitem(spark, d), "cell", ["l_orderkey"], F.struct("l_extendedprice", "l_discount", "l_tax"))
-
-    def body(cell):
-        net = cell["l_extendedprice"] * (1 - cell["l_discount"])
-        return net, net * (1 + cell["l_tax"])
-
-    made = nest([Node(body, ("net", "gross")), gather(["net", "gross"], "both")], "both")
-    made = made.copy(spec="cell[o] -> both[o]")
-    return compile_node(spark, made, {"cell": cells})["both"].df.select("o", "both.net", "both.gross")
+    """Two outputs of one body."""
+    price = _frame(spark, d, "orders", "o_orderkey", "o_totalprice", "price").rename_axes({"o_orderkey": "o"})
+    n = Node(lambda price: (price / 1.25, price - price / 1.25), ("net", "tax"), spec="price[o] -> net[o], tax[o]")
+    made = compile_node(spark, n, {"price": price})
+    return assemble(made, ["net", "tax"], keep_axes=True)
 
 
 @query(
@@ -180,30 +174,16 @@ def reduce_chain(spark: SparkSession, d: str) -> DataFrame:
     return flow.map(spark, {"item": item, "buys": buys, "home": home})["most"].df
 
 
-@query(
-    "WITH c AS (SELECT vec_id AS i, unnest(range(len(embedding))) AS j, unnest(embedding)::DOUBLE AS a FROM embeddings), "
-    "m AS (SELECT label AS k, j, floor(1000 * avg(a)) / 1000 AS b FROM c JOIN embeddings ON i = vec_id GROUP BY 1, 2) "
-    "SELECT i, k, round(sum(a * b), 3) + 0.0 AS dot FROM c JOIN m USING (j) WHERE i < 50 GROUP BY 1, 2"
-)
-def contraction(spark: SparkSession, d: str) -> DataFrame:
-    """Part of ``contraction_whole``: the first fifty vectors only."""
-    return _label_products(spark, d, {"i": slice(0, 50)})
-
-
 @query(
     "WITH c AS (SELECT vec_id AS i, unnest(range(len(embedding))) AS j, unnest(embedding)::DOUBLE AS a FROM embeddings), "
     "m AS (SELECT label AS k, j, floor(1000 * avg(a)) / 1000 AS b FROM c JOIN embeddings ON i = vec_id GROUP BY 1, 2) "
     "SELECT i, k, round(sum(a * b), 3) + 0.0 AS dot FROM c JOIN m USING (j) GROUP BY 1, 2"
 )
-def contraction_whole(spark: SparkSession, d: str) -> DataFrame:
+def contraction(spark: SparkSession, d: str) -> DataFrame:
     """A matrix product over components: every vector against the mean of each label."""
-    return _label_products(spark, d, {})
-
-
-def _label_products(spark: SparkSession, d: str, fixed: dict) -> DataFrame:
     emb = read_table(spark, d, "embeddings")
     cells = emb.select(F.col("vec_id").alias("i"), F.col("label").alias("k"), F.posexplode("embedding").alias("j", "x")).withColumn("x", F.col("x").cast("double"))
-    a = AxisFrame.from_table(cells, "a", ["i", "j"], "x").at(**fixed)
+    a = AxisFrame.from_table(cells, "a", ["i", "j"], "x")
     b = AxisFrame.from_table(cells.groupBy("j", "k").agg((F.floor(1000 * F.avg("x")) / 1000).alias("b")), "b", ["j", "k"])
     n = Node(lambda a, b: F.round(F.sum(a * b), 3) + F.lit(0.0), "dot", kind="aggregate", spec="a[i, :], b[:, k] -> dot[i, k]")
     return compile_node(spark, n, {"a": a, "b": b})["dot"].df
@@ -258,13 +238,12 @@ def _doubled(spark: SparkSession, d: str, fixed: dict) -> DataFrame:
 
 @query("SELECT o_orderkey AS o, 2 * o_totalprice AS y, o_orderkey % 3 <> 0 AS fresh FROM orders")
 def resume_missing(spark: SparkSession, d: str) -> DataFrame:
-    """Cells not yet stored are computed, those stored are kept."""
+    """A run of every third cell, resumed: cells that are stored are kept, the others computed."""
     x = _frame(spark, d, "orders", "o_orderkey", "o_totalprice", "x").rename_axes({"o_orderkey": "o"})
-    n = Node(lambda x: 2 * x, "y", spec="x[o] -> y[o]")
-    stored = compile_node(spark, n, {"x": x.with_df(x.df.filter("o % 3 = 0"))})["y"].df
-    left = x.with_df(x.df.join(stored.select("o"), "o", "left_anti"))
-    fresh = compile_node(spark, n, {"x": left})["y"].df
-    return stored.withColumn("fresh", F.lit(False)).unionByName(fresh.withColumn("fresh", F.lit(True)))
+    flow, folder = Flow([Node(lambda x: 2 * x, "y", spec="x[o] -> y[o]")]), scratch_folder(spark, "resumed")
+    first = flow.map(spark, {"x": x}, folder=folder, fixed={"o": slice(0, None, 3)})["y"].df
+    whole = flow.map(spark, {"x": x}, folder=folder, resume=True)["y"].df
+    return whole.join(first.select("o", F.lit(False).alias("kept")), "o", "left").select("o", "y", F.coalesce("kept", F.lit(True)).alias("fresh"))
 
 
 @query("SELECT l_orderkey AS o, sum(l_quantity::DECIMAL(18,4))::DECIMAL(30,4) AS qty FROM lineitem GROUP BY 1")
@@ -281,14 +260,22 @@ def subflow_prune(spark: SparkSession, d: str) -> DataFrame:
     return flow.map(spark, {"q": q}, outputs=["qty"])["qty"].df
 
 
-@query("SELECT l_orderkey, l_quantity FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-06-01' AND l_quantity > 45")
+@query("SELECT l_orderkey AS o, l_quantity AS q FROM lineitem WHERE l_orderkey >= 100 AND l_orderkey < 900")
 def scan_filter_pushdown(spark: SparkSession, d: str) -> DataFrame:
-    return _lineitem(spark, d).filter("l_shipdate < TIMESTAMP '1995-06-01' AND l_quantity > 45").select("l_orderkey", "l_quantity")
+    """A table passed by its path; the slice reaches the scan, which reads two columns."""
+    li = ByReference(f"{d}/lineitem.parquet").load(spark)
+    return AxisFrame.from_table(li, "q", ["l_orderkey"], "l_quantity").at(l_orderkey=slice(100, 900)).rename_axes({"l_orderkey": "o"}).df
 
 
-@query("SELECT event_id, ts, event_type FROM events ORDER BY ts DESC, event_id LIMIT 25")
+@query("SELECT run, output, stored FROM (VALUES ('second', 'y', 25), ('first', 'y', 10)) v(run, output, stored), (SELECT count(*) FROM nation)")
 def recent_runs_topk(spark: SparkSession, d: str) -> DataFrame:
-    return read_table(spark, d, "events").orderBy(F.desc("ts"), "event_id").limit(25).select("event_id", "ts", "event_type")
+    """Runs of a folder, the newest first, and what they hold."""
+    top, keys = scratch_folder(spark, "runs"), [r[0] for r in read_table(spark, d, "nation").select("n_nationkey").orderBy("n_nationkey").collect()]
+    flow = Flow([Node(lambda x: x + 1, "y", spec="x[i] -> y[i]")])
+    flow.map(spark, {"x": keys}, folder=f"{top}/first", fixed={"i": slice(0, 10)})
+    flow.map(spark, {"x": keys}, folder=f"{top}/second")
+    rows = [(run["path"].rsplit("/", 1)[1], o, RunFolder(spark, run["path"]).outputs(o).df.count()) for run in list_runs(spark, top, 5) for o in run["outputs"]]
+    return spark.createDataFrame(rows, "run string, output string, stored int")
 
 
 # sweeps
@@ -296,7 +283,8 @@ def recent_runs_topk(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT a, b, c FROM (VALUES (1), (2)) x(a), (VALUES (3), (4)) y(b), (VALUES (5), (6)) z(c)")
 def sweep_product(spark: SparkSession, d: str) -> DataFrame:
-    return Sweep({"a": [1, 2], "b": [3, 4], "c": [5, 6]}).frame(spark).select(*[F.col(c).cast("int") for c in "abc"])
+    whole = Sweep({"a": [1, 2]}).product(Sweep({"b": [3, 4]}), Sweep({"c": [5, 6]}))
+    return whole.frame(spark).select(*[F.col(c).cast("int") for c in "abc"])
 
 
 @query("SELECT a, b, c FROM (VALUES (1, 3), (2, 4)) x(a, b), (VALUES (5), (6)) z(c)")
@@ -312,7 +300,7 @@ def sweep_constants(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT low, low + 10 AS high, count(*) AS n FROM (VALUES (0), (10), (20), (30)) s(low) JOIN lineitem ON l_quantity >= low AND l_quantity < low + 10 GROUP BY 1, 2")
 def sweep_derivers(spark: SparkSession, d: str) -> DataFrame:
     """Thresholds with a derived bound, applied to a table."""
-    s = Sweep({"low": [0, 10, 20, 30]}, derivers={"high": "low + 10"}).frame(spark)
+    s = Sweep({"low": [0, 10, 20, 30]}).derive(high="low + 10").frame(spark)
     li = _lineitem(spark, d).select("l_quantity")
     hit = li.join(F.broadcast(s), (li.l_quantity >= s.low) & (li.l_quantity < s.high))  # as many rows as the sweep names
     return hit.groupBy(F.col("low").cast("int").alias("low"), F.col("high").cast("int").alias("high")).agg(F.count("*").alias("n"))
@@ -331,8 +319,8 @@ def sweep_union(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT DISTINCT a, a % 2 AS p FROM (VALUES (1), (2), (3)) x(a), (VALUES (5), (6)) z(c)")
 def sweep_filtered_distinct(spark: SparkSession, d: str) -> DataFrame:
-    s = Sweep({"a": [1, 2, 3], "c": [5, 6]}, derivers={"p": "a % 2"}).frame(spark)
-    return s.select(F.col("a").cast("int"), F.col("p").cast("int")).distinct()
+    rows = Sweep({"a": [1, 2, 3], "c": [5, 6]}, derivers={"p": lambda row: row["a"] % 2}).only(["a", "p"])
+    return spark.createDataFrame([(r["a"], r["p"]) for r in rows], "a int, p int")
 
 
 def _sweep_flow() -> Flow:
@@ -395,7 +383,9 @@ def type_cast(spark: SparkSession, d: str) -> DataFrame:
     return cast(k, "double").df
 
 
-def _error_flow(spark: SparkSession, d: str):
+def _error_flow(spark: SparkSession, d: str, out: str):
+    """One output and what it needs: nothing is read twice, so nothing is kept."""
+
     def body(x: float) -> float:
         if x < 0:
             raise ValueError("negative")
@@ -409,17 +399,18 @@ def _error_flow(spark: SparkSession, d: str):
         Node(lambda y, home: y * home, "there", spec="y[c], home[n, c] -> there[n, c]"),
         Node(lambda there: F.count(there), "m", kind="aggregate", spec="there[n, :] -> m[n]"),
     ], check_types=False)
-    return flow.map(spark, {"x": x, "home": home}, errors="continue")
+    flow = flow.sub(outputs=[out])
+    return flow.map(spark, {k: v for k, v in (("x", x), ("home", home)) if k in flow.roots()}, errors="continue")
 
 
 @query("SELECT c_custkey AS c, CASE WHEN c_acctbal >= 0 THEN 1.5 * c_acctbal END AS y, CASE WHEN c_acctbal < 0 THEN 'ValueError' END AS error, CASE WHEN c_acctbal < 0 THEN 'negative' END AS message FROM customer")
 def error_continue(spark: SparkSession, d: str) -> DataFrame:
-    return _error_flow(spark, d)["y"].df.select("c", "y", F.col("y__error.type").alias("error"), F.col("y__error.message").alias("message"))
+    return _error_flow(spark, d, "y")["y"].df.select("c", "y", F.col("y__error.type").alias("error"), F.col("y__error.message").alias("message"))
 
 
 @query("SELECT c_custkey AS c, CASE WHEN c_acctbal >= 0 THEN 1.5 * c_acctbal + 1 END AS z, CASE WHEN c_acctbal < 0 THEN 'input_is_error' END AS reason FROM customer")
 def error_propagate_elementwise(spark: SparkSession, d: str) -> DataFrame:
-    return _error_flow(spark, d)["z"].df.select("c", "z", F.col("z__error.reason").alias("reason"))
+    return _error_flow(spark, d, "z")["z"].df.select("c", "z", F.col("z__error.reason").alias("reason"))
 
 
 @query(
@@ -427,7 +418,7 @@ def error_propagate_elementwise(spark: SparkSession, d: str) -> DataFrame:
     "CASE WHEN min(c_acctbal) < 0 THEN count(*) FILTER (c_acctbal < 0) END AS failed FROM customer GROUP BY 1"
 )
 def error_propagate_reduce(spark: SparkSession, d: str) -> DataFrame:
-    return _error_flow(spark, d)["m"].df.select("n", "m", F.col("m__error.reason").alias("reason"), F.col("m__error.count").alias("failed"))
+    return _error_flow(spark, d, "m")["m"].df.select("n", "m", F.col("m__error.reason").alias("reason"), F.col("m__error.count").alias("failed"))
 
 
 # nodes
@@ -491,10 +482,17 @@ def running_statistics(spark: SparkSession, d: str) -> DataFrame:
     return running_stats(read_table(spark, d, "events"), "event_type", "value")
 
 
-@query("SELECT count(*) FILTER (o_orderstatus = 'F') AS stored, count(*) AS total, count(*) FILTER (o_orderstatus = 'F')::DOUBLE / count(*) AS share FROM orders")
+@query("SELECT 'y' AS output, count(*) FILTER (n_nationkey < 10) AS stored, 0::BIGINT AS failed, count(*) AS total, 'incomplete' AS state, count(*) FILTER (n_nationkey < 10)::DOUBLE / count(*) AS share FROM nation")
 def status_progress(spark: SparkSession, d: str) -> DataFrame:
-    o = read_table(spark, d, "orders").agg(F.count_if(F.col("o_orderstatus") == "F").alias("stored"), F.count("*").alias("total"))
-    return o.withColumn("share", F.col("stored") / F.col("total"))
+    """How far a run in a folder has come, and the share done as live counts tell it."""
+    keys = [r[0] for r in read_table(spark, d, "nation").select("n_nationkey").orderBy("n_nationkey").collect()]
+    folder = scratch_folder(spark, "status")
+    Flow([Node(lambda x: x + 1, "y", spec="x[i] -> y[i]")]).map(spark, {"x": keys}, folder=folder, fixed={"i": slice(0, 10)})
+    found = RunFolder(spark, folder).status()
+    done = Status(len(keys))
+    done.start(10)
+    done.finish(10)
+    return found.withColumn("share", F.lit(done.share))
 
 
 @query("SELECT p_partkey AS n, p_partkey // 50 % 40 AS i, p_partkey // 10 % 5 AS j, p_partkey % 10 AS k, p_partkey // 50 % 40 * 50 + p_partkey // 10 % 5 * 10 + p_partkey % 10 AS back FROM part")
@@ -512,19 +510,22 @@ def missing_cells(spark: SparkSession, d: str) -> DataFrame:
     return held.missing()
 
 
-@query("SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS rev FROM lineitem")
+@query("SELECT o_orderkey AS o, o_totalprice * (1 - length(o_orderpriority) / 100.0) AS rev FROM orders")
 def pandas_udf_map(spark: SparkSession, d: str) -> DataFrame:
-    """The element-wise map again, through a Python body in Arrow batches."""
-    li = _lineitem(spark, d)
-    price = AxisFrame.from_table(li, "cell", ["l_orderkey", "l_linenumber"], F.struct("l_extendedprice", "l_discount"))
+    """An opaque body over whole Arrow batches."""
+    price = _frame(spark, d, "orders", "o_orderkey", "o_totalprice", "price").rename_axes({"o_orderkey": "o"})
+    off = _frame(spark, d, "orders", "o_orderkey", F.length("o_orderpriority") / 100.0, "off").rename_axes({"o_orderkey": "o"})
+    n = Node(lambda price, off: price * (1 - off), "rev", kind="batch", returns="double", spec="price[o], off[o] -> rev[o]")
+    return Flow([n]).map(spark, {"price": price, "off": off})["rev"].df
 
-    @F.pandas_udf(T.DoubleType())
-    def net(cell: pd.DataFrame) -> pd.Series:
-        return cell["l_extendedprice"] * (1 - cell["l_discount"])
 
-    n = Node(lambda cell: net(cell), "rev", spec="cell[o, r] -> rev[o, r]")
-    out = compile_node(spark, n, {"cell": price.rename_axes({"l_orderkey": "o", "l_linenumber": "r"})})["rev"]
-    return out.rename_axes({"o": "l_orderkey", "r": "l_linenumber"}).df
+@query("SELECT o_orderkey AS o, o_orderstatus || ':' || length(o_orderpriority) AS tag FROM orders")
+def python_map(spark: SparkSession, d: str) -> DataFrame:
+    """A Python body called cell by cell."""
+    state = _frame(spark, d, "orders", "o_orderkey", "o_orderstatus", "state").rename_axes({"o_orderkey": "o"})
+    level = _frame(spark, d, "orders", "o_orderkey", "o_orderpriority", "level").rename_axes({"o_orderkey": "o"})
+    n = Node(lambda state, level: f"{state}:{len(level)}", "tag", kind="python", returns="string", spec="state[o], level[o] -> tag[o]")
+    return Flow([n]).map(spark, {"state": state, "level": level})["tag"].df
 
 
 @query("SELECT conv_id AS c, round(var_pop(length(text)), 4) AS v FROM conversations GROUP BY 1")
@@ -548,16 +549,17 @@ def sql_body(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("SELECT i, j, (3 * 40)::BIGINT AS e FROM (SELECT unnest(range(40)) AS i), (SELECT unnest(range(40)) AS j)")
-def sweep_cube(spark: SparkSession, d: str, n: int = 40) -> DataFrame:
+def sweep_cube(spark: SparkSession, d: str, n: int = 40, kind: str = "column") -> DataFrame:
     """A zip, a product of three axes and a reduction over generated numbers."""
-    return cube_flow().map(spark, {p: range(n) for p in ("a", "b", "x", "y")})["e"].df
+    return cube_flow(kind).map(spark, {p: range(n) for p in ("a", "b", "x", "y")})["e"].df
 
 
-def cube_flow() -> Flow:
-    """``n`` zipped calls, then ``n**3`` calls, then a sum for each of ``n**2`` groups."""
+def cube_flow(kind: str = "column") -> Flow:
+    """``n`` zipped calls, then ``n**3`` calls, then a sum for each of ``n**2`` groups; the calls native, or opaque to Spark (``batch``, ``python``)."""
+    made = {} if kind == "column" else {"kind": kind, "returns": "bigint"}
     return Flow([
-        Node(lambda a, b: a * 0 + b * 0 + 1, "c", spec="a[k], b[k] -> c[k]"),
-        Node(lambda c, x, y: c * 3 + (x + y) * 0, "d", spec="c[k], x[i], y[j] -> d[i, j, k]"),
+        Node(lambda a, b: a * 0 + b * 0 + 1, "c", spec="a[k], b[k] -> c[k]", **made),
+        Node(lambda c, x, y: c * 3 + (x + y) * 0, "d", spec="c[k], x[i], y[j] -> d[i, j, k]", **made),
         Node(lambda d: F.sum(d), "e", kind="aggregate", spec="d[i, j, :] -> e[i, j]"),
     ])
 

@@ -10,6 +10,7 @@ import hashlib
 import inspect
 import json
 import re
+import tempfile
 import time
 import uuid
 from collections.abc import Callable, Mapping
@@ -370,3 +371,16 @@ def list_runs(spark: SparkSession, folder: str, most: int | None = None) -> list
         if run.is_run():
             found.append({"path": run.path, **run.load()})
     return sorted(found, key=lambda m: -m["updated"])[:most]
+
+
+_SCRATCH: dict[str, str] = {}
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for a run that nobody keeps: under ``spark.checkpoint.dir``, or a temporary one where the master is local."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        top = _SCRATCH.setdefault("top", "file://" + tempfile.mkdtemp(prefix="axisloom-"))
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"

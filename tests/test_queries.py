@@ -5,6 +5,7 @@ import random
 import duckdb
 import pytest
 
+from axisloom import plan_queries  # noqa: F401
 from axisloom.queries import CATALOGUE
 
 SMALL = "/root/testdata/sf0.001"
@@ -41,7 +42,7 @@ def test_contraction_covers_every_vector(spark, tmp_path):
     rng = random.Random(3)
     rows = [(v, [float(rng.randint(-9, 9)) for _ in range(4)], v % 3) for v in [*range(60), 10**6]]
     spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
-    got = {(r["i"], r["k"]): r["dot"] for r in CATALOGUE["contraction_whole"][0](spark, str(tmp_path)).collect()}
+    got = {(r["i"], r["k"]): r["dot"] for r in CATALOGUE["contraction"][0](spark, str(tmp_path)).collect()}
     mean = {k: [math.floor(1000 * (sum(xs) / len(xs))) / 1000 for xs in zip(*[e for _, e, c in rows if c == k], strict=True)] for k in range(3)}
     assert set(got) == {(v, k) for v, _, _ in rows for k in range(3)}
     assert all(abs(got[v, k] - sum(x * y for x, y in zip(e, mean[k], strict=True))) < 1e-3 for v, e, _ in rows for k in range(3))
