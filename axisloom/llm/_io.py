@@ -47,6 +47,11 @@ def table_by(df: DataFrame, key: str, name: str) -> DataFrame:
     return back
 
 
+def unbucketed(df: DataFrame) -> DataFrame:
+    """What :func:`table_by` wrote, read without its buckets: joins shuffle it, so that a hot key on the other side can be split."""
+    return df.sparkSession.read.schema(df.schema).parquet(df._shared_path)
+
+
 def drop_table(*tables: DataFrame) -> None:
     """Delete what :func:`table` or :func:`table_by` wrote for some frames, once nothing reads them any more."""
     for df in tables:

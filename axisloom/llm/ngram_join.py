@@ -13,8 +13,8 @@ is at least the threshold. Identical sets first become one class, held by its sm
   exact, and every pair sharing a long list lies within those documents, so nothing is lost.
 
 Lists are not expanded into all pairs. Each list first checks its members against one of them, its
-hub; links become components. Of a short list, pairs that lie in different components and can
-still be similar are checked then. Long lists that still hold several components are put together
+hub; links become components. Of short lists, pairs that lie in different components and share enough of them
+to be similar are checked then. Long lists that still hold several components are put together
 by hub and compared in pairs of blocks of bounded size, which give one link for each two
 components. Every check is over the whole texts, by 64-bit hashes of their shingles.
 """
@@ -33,15 +33,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from axisloom.llm._components import components
-from axisloom.llm._io import drop_table, table, table_by
+from axisloom.llm._io import drop_table, table, table_by, unbucketed
 from axisloom.llm._shingles import SHINGLE_WORDS, shingle_hashes
+from axisloom.llm._worker import state
 
 PERCENT = 80
 LONG_LIST = 32
 LEVELS = 3
 DEMOTED_MOST = 200_000
-#: About so many documents are sampled for frequent shingles: those that so many of them hold.
-SAMPLE_DOCS = 16_384
+#: One in so many documents is sampled for frequent shingles: those that so many of the sample hold.
+SAMPLE_SHARE = 16
 SAMPLE_HOLD = 3
 SMALL_MOST = 14
 #: The largest set that can link with one of SMALL_MOST; so many hashes of a set are kept until the boundary is known.
@@ -50,8 +51,8 @@ SMALL_LIST = 17
 #: 6.5 us for an entry's share of comparing candidates, and 0.9 us to hash a subset: 7.6 to 2.0.
 LIST_COST = 3.8
 #: Keys and classes with about so many rows or more are counted and joined by broadcast, so that no task gets all rows of one.
-HOT_ROWS = 5_000
-HOT_SAMPLE = 64
+HOT_ROWS = 1_000
+HOT_SAMPLE = 16
 HOT_MOST = 100_000
 #: Documents and shingles of a block, and columns of a matrix, where long lists are checked.
 BLOCK_DOCS = 500
@@ -144,6 +145,7 @@ def _signed(slim: DataFrame, k: int, percent: int, most: int | None, demoted: np
     """Size, digest and join keys of each set. Where the boundary isn't known yet (None), small sets keep their hashes, with ``listed`` -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state("ngrams")
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
             for at in range(0, batch.num_rows, 512):
@@ -165,6 +167,7 @@ def _with_small(signed: DataFrame, most: int, percent: int, demoted: np.ndarray)
     """Sets whose keys are still their hashes get the keys for a boundary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state("ngrams")
         for batch in batches:
             rows = []
             for n, hi, lo, hashes in zip(*(batch.column(c).to_pylist() for c in ("n", "hi", "lo", "keys")), strict=True):
@@ -180,6 +183,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     """Those pairs (a, b) whose whole texts link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state("ngrams")
         kept: OrderedDict[bytes, np.ndarray] = OrderedDict()
 
         def shingles(t: bytes) -> np.ndarray:
@@ -200,21 +204,21 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
                 good.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    a = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
     b = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
+    # a hub stands in as many pairs as its lists have members
+    a = unbucketed(texts).select(F.col("id").alias("a"), F.col("text").alias("ta"))
     return pairs.join(b, "b").join(a, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
 def _frequent(slim: DataFrame, k: int) -> np.ndarray:
-    """Shingles that several documents of a bounded sample hold, the most frequent first where there are too many.
+    """Shingles that several documents of a sample hold, the most frequent first where there are too many.
 
     They say where the order is to begin only: any order gives the same links.
     """
-    total = slim.count()
-    share = min(1.0, SAMPLE_DOCS / max(1, total))
-    few = slim.filter(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30)))
+    few = slim.filter(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(SAMPLE_SHARE)) == 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state("ngrams")
         for batch in batches:
             for t in batch.column(0).cast(pa.binary()):
                 h = shingle_hashes(t.as_py(), k)
@@ -238,8 +242,10 @@ def _members(usable: DataFrame) -> DataFrame:
 
 
 def _entries(signed: DataFrame) -> DataFrame:
-    """Members of every list of two or more, with ``length``, and ``own``: listed shingles that no other document lists.
+    """Members of every list of two or more, with ``length``.
 
+    ``own`` counts the shingles of a set that no other document lists, ``near`` those that another set may share without
+    sharing a short list: the ones not listed, and those whose lists are long.
     Keys that come out frequent in a sample of documents are counted by partial sums; the sample decides about the plan only.
     """
 
@@ -248,17 +254,20 @@ def _entries(signed: DataFrame) -> DataFrame:
     rows = signed.select(F.explode("keys").alias("key"), "id")
     counted = rows if hot.isEmpty() else rows.join(F.broadcast(hot), "key", "left_anti")
     counted = counted.withColumn("length", F.count("*").over(Window.partitionBy("key")))
+    stale = [hot]
     if not hot.isEmpty():
-        many = rows.join(F.broadcast(hot), "key", "left_semi")
+        many = table(rows.join(F.broadcast(hot), "key", "left_semi"), "hot-entries")
         lengths = many.groupBy("key").agg(F.count("*").alias("length"))
+        stale.append(many)
         counted = counted.unionByName(many.join(F.broadcast(lengths), "key").select(*counted.columns))
     shared = table(counted.filter("length > 1"), "entries")
-    met = shared.groupBy("id").agg(F.count("*").alias("met"))
+    met = shared.groupBy("id").agg(F.count("*").alias("met"), F.count_if(F.col("length") >= LONG_LIST).alias("long"))
     own = F.greatest(F.lit(0), F.col("listed") - F.col("met")).cast("int").alias("own")
+    near = (F.col("n") - F.greatest(F.lit(0), F.col("listed") - F.col("long"))).cast("int").alias("near")
     # an id on rows with different texts stands in each of its lists once for each of them, which adds candidates only
-    known = signed.select("id", "n", "listed", "late", "last").join(met, "id").select("id", "n", own, "late", "last")
-    out = table(shared.join(known, "id").select("key", "length", "id", "n", "own", "late", "last"), "lists")
-    drop_table(shared, hot)
+    known = signed.select("id", "n", "listed", "late", "last").join(met, "id").select("id", "n", own, near, "late", "last")
+    out = table(shared.join(known, "id").select("key", "length", "id", "n", "own", "near", "late", "last"), "lists")
+    drop_table(shared, *stale)
     return out
 
 
@@ -269,12 +278,18 @@ def _possible(x: str, y: str, percent: int):
     shingles up to there, so it has none of those that the first alone lists.
     """
     c = lambda side, name: F.col(f"{side}.{name}")
+    return _enough(x, y, c(x, "n") - c(x, "own"), c(y, "n") - c(y, "own"), percent)
+
+
+def _enough(x: str, y: str, of_x, of_y, percent: int):
+    """Whether sets link that share at most so many shingles: ``of_x`` where the listed ones of x end first, else ``of_y``."""
+    c = lambda side, name: F.col(f"{side}.{name}")
     first = (c(x, "late") < c(y, "late")) | ((c(x, "late") == c(y, "late")) & (c(x, "last") <= c(y, "last")))
-    o = F.least(F.when(first, c(x, "n") - c(x, "own")).otherwise(c(y, "n") - c(y, "own")), c(x, "n"), c(y, "n"))
+    o = F.least(F.when(first, of_x).otherwise(of_y), c(x, "n"), c(y, "n"))
     return F.lit(100) * o >= F.lit(percent) * (c(x, "n") + c(y, "n") - o)
 
 
-MEMBER = ("own", "n", "id", "late", "last")
+MEMBER = ("own", "n", "id", "near", "late", "last")
 
 
 def _open(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -296,7 +311,12 @@ def _links(members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     short = left.filter(F.col("length") < LONG_LIST)
     x, y = short.alias("x"), short.alias("y")
     apart = (F.col("x.list") == F.col("y.list")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root"))
-    rest = x.join(y, apart & _possible("x", "y", percent)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    both = x.join(y, apart & _possible("x", "y", percent)).select(F.col("x.list.level").alias("level"), F.struct(*[F.col(f"x.{c}") for c in MEMBER]).alias("x"), F.struct(*[F.col(f"y.{c}") for c in MEMBER]).alias("y"))
+    # in different components they share no list of one component, so what they share is near, or in the lists counted here;
+    # sets that enumerate subsets share as few as one
+    met = both.groupBy("level", "x", "y").agg(F.count("*").alias("shared"))
+    sure = _enough("x", "y", F.col("x.near") + F.col("shared"), F.col("y.near") + F.col("shared"), percent)
+    rest = met.filter(sure).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     done = checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = table(rest.join(done, ["a", "b"], "left_anti"), "pairs")
     links = links.unionByName(_verified(rest, texts, k, percent))
@@ -315,6 +335,7 @@ def _block_links(groups: DataFrame, texts: DataFrame, k: int, percent: int) -> D
     paired = copies.select("hub", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "id", "root")
 
     def run(t: pa.Table) -> pa.Table:
+        state("ngrams")
         ids, roots, blocks = (t[c].to_numpy() for c in ("id", "root", "block"))
         a, b = component_links([shingle_hashes(x.as_py(), k) for x in t["text"].combine_chunks().cast(pa.binary())], roots, blocks, t["b1"][0].as_py() != t["b2"][0].as_py(), percent)
         return pa.table({"a": pa.array(ids[a], pa.int64()), "b": pa.array(ids[b], pa.int64())})

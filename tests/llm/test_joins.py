@@ -41,7 +41,7 @@ def test_ngram_join_matches_brute_force(spark, seed, monkeypatch):
 
 @pytest.mark.parametrize("demoted, hold", [(5, 3), (100_000, 1), (400, 10**9)])
 def test_hot_keys_and_classes_match_brute_force(spark, monkeypatch, demoted, hold):
-    for name, value in (("HOT_ROWS", 4), ("HOT_SAMPLE", 1), ("LONG_LIST", 6), ("BLOCK_DOCS", 7), ("DEMOTED_MOST", demoted), ("SAMPLE_HOLD", hold)):
+    for name, value in (("HOT_ROWS", 4), ("HOT_SAMPLE", 1), ("LONG_LIST", 6), ("BLOCK_DOCS", 7), ("DEMOTED_MOST", demoted), ("SAMPLE_HOLD", hold), ("SAMPLE_SHARE", 2)):
         monkeypatch.setattr(ngram_join, name, value)
     rows = [*corpus(3), *((1000 + k, "the very same words in each of these rows") for k in range(20)), (2000, "word " * 300_000 + "end"), (2001, "other " * 300_000 + "end")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
