@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 
-_LOADED: dict = {}
+from axisloom.llm._worker import state
 
 BATCH_BYTES = 1 << 20
 LONGEST_KEPT = 96
@@ -22,15 +22,16 @@ LONGEST_KEPT = 96
 
 def library(path: str):
     """The tokenizer at ``path``, loaded once in each Python worker, without truncation or padding."""
-    if path not in _LOADED:
+    held = state("tokens")
+    if path not in held:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
         tok.no_truncation()
         tok.no_padding()
-        _LOADED[path] = tok
-    return _LOADED[path]
+        held[path] = tok
+    return held[path]
 
 
 def balanced(items: Iterable[bytes], limit: int = BATCH_BYTES) -> Iterator[list[bytes]]:
@@ -126,10 +127,10 @@ class PieceMemo:
 
 def memo(path: str, pack: Callable[[list[int]], object], fold: bool, capacity: int = 400_000) -> PieceMemo:
     """The worker's memo for a tokenizer and a way of packing."""
-    key = (path, pack.__name__)
-    if key not in _LOADED:
-        _LOADED[key] = PieceMemo(path, pack, fold, capacity)
-    return _LOADED[key]
+    held, key = state("tokens"), (path, pack.__name__)
+    if key not in held:
+        held[key] = PieceMemo(path, pack, fold, capacity)
+    return held[key]
 
 
 def pack_u16(ids: list[int]) -> bytes:

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from axisloom.llm._vocab import PieceMemo, byte_symbols, library, memo, pack_u16
+from axisloom.llm._worker import state
 
 WINDOW = 32
 MEAN_BITS = 10
@@ -271,14 +272,12 @@ def _token_bytes(vocab: dict[str, int], size: int) -> list[bytes]:
     return out
 
 
-_CODECS: dict[str, ChunkCodec] = {}
-
-
 def codec(path: str) -> ChunkCodec:
     """The worker's codec for a tokenizer file."""
-    if path not in _CODECS:
-        _CODECS[path] = ChunkCodec(path)
-    return _CODECS[path]
+    held = state("tokens")
+    if ("codec", path) not in held:
+        held["codec", path] = ChunkCodec(path)
+    return held["codec", path]
 
 
 def _batches(column: pa.Array) -> Iterator[list[bytes | None]]:

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from axisloom.llm._worker import state
+
 # Element names of HTML, and words that name page furniture.
 RAW = frozenset("script style noscript template svg math iframe object canvas title textarea select".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -366,6 +368,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state("html")
         tree = grow(list(LABELLED))
         for batch in batches:
             for at in range(0, batch.num_rows, 256):

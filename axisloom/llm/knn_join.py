@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from axisloom.llm._io import drop_table, table
+from axisloom.llm._worker import state
 
 SCALE = 64
 PIVOTS_LEAST, PIVOTS_MOST = 16, 1024
@@ -179,6 +180,7 @@ CELLS = "id long, cell int, away double, norm double, size int, v binary"
 
 def _assigned(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state("vectors")
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 few = batch.slice(at, 2048)
@@ -279,6 +281,7 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_i
     met = wanted.join(data, ["cell", "slot"]).select("q_block", "q_width", "q_ids", "q_m", "needs", "cell", "x_width", "x_ids", "x_m")
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state("vectors")
         best: OrderedDict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = OrderedDict()
 
         def rows_of(name: str) -> pa.RecordBatch:

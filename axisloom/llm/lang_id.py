@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from axisloom.llm._worker import state
+
 DIMENSIONS = 2048
 PER_LANGUAGE = 600
 PIECE = 1 << 18
@@ -205,6 +207,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_
     sample = usable.join(F.broadcast(shares), "lang").withColumn("place", place).filter("place < share")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state("language")
         for batch in batches:
             rows = [(a, p, v[0].astype(np.float32).tobytes(), v[1], v[2]) for a, p, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) if (v := measured(t))[0] is not None]
             kinds = [pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.float64()]
@@ -242,6 +245,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state("language")
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 few = batch.slice(at, 256)
@@ -264,6 +268,7 @@ def keep_identified(docs: DataFrame, model: LanguageModel, least: float = 0.5, t
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state("language")
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 few = batch.slice(k, 256)

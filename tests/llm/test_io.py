@@ -3,7 +3,7 @@ from types import SimpleNamespace
 
 import pytest
 
-from axisloom.llm import _io
+from axisloom.llm import _io, _worker
 
 
 def session(master, folder=None):
@@ -25,3 +25,10 @@ def test_tables_are_dropped(spark, tmp_path):
     assert df.count() == 5 and os.listdir(path)
     _io.drop_table(df)
     assert not os.path.exists(path)
+
+
+def test_a_worker_keeps_the_state_of_one_operator():
+    first = _worker.state("one")
+    first["big"] = bytes(10)
+    assert _worker.state("one") is first
+    assert _worker.state("two") == {} and _worker.state("one") == {}
