@@ -109,7 +109,7 @@ class Node:
         variant: str | Mapping[str | None, str] | None = None,
         variant_group: str | None = None,
         internal_shape: tuple | None = None,
-        resources: Resources | None = None,
+        resources: Resources | Callable[[Mapping[str, Any]], Resources] | None = None,
         hook: Callable | None = None,
         parameters: Iterable[str] | None = None,
         name: str | None = None,
@@ -297,6 +297,10 @@ class Node:
             self.hook(self, result, given)
         return result
 
+    def needs(self, values: Mapping[str, Any] | None = None) -> Resources | None:
+        """What the node asks of a cluster; ``resources`` may be a function of its arguments."""
+        return self.resources(values or {}) if callable(self.resources) else self.resources
+
     def pick(self, result: Any, name: str) -> Any:
         """One output out of a result."""
         if len(self.out) == 1:
@@ -351,7 +355,10 @@ def nest(nodes: Iterable[Node], out: str | Iterable[str] | None = None, name: st
     made_node = Node(body, wanted, kind=kind, spec=spec, returns=returns, parameters=[*free, *optional], name=name or "_".join(p.name for p in parts))
     made_node.update_defaults({p: inner.defaults()[p] for p in optional})
     made_node.cache = any(p.cache for p in parts)
-    made_node.resources = Resources.most(r for p in parts if (r := p.resources)) if any(p.resources for p in parts) else None
+    if any(callable(p.resources) for p in parts):
+        made_node.resources = lambda values: Resources.most(r for p in parts if (r := p.needs(values)))
+    elif any(p.resources for p in parts):
+        made_node.resources = Resources.most(r for p in parts if (r := p.resources))
     made_node.nested = tuple(parts)
     return made_node
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import re
 from collections.abc import Iterable, Mapping
 from graphlib import CycleError, TopologicalSorter
 from typing import Any
@@ -12,6 +13,10 @@ from axisloom.plans.spec import UNKNOWN, ArrayRef, IndexSpec, axes_of, check_axe
 from axisloom.plans.types import Array, Missing, compatible, same
 
 
+def _type_name(hint: Any) -> str | None:
+    return None if hint in (None, Missing) else getattr(hint, "__name__", str(hint))
+
+
 class UnusedInputs(ValueError):
     """Values were given that nothing takes."""
 
@@ -39,7 +44,8 @@ class Flow:
         if taken:
             raise ValueError(f"{sorted(taken)} are made already")
         if n.resources is not None or self.resources is not None:
-            n.resources = (n.resources or Resources()).over(self.resources)
+            own, base = n.resources, self.resources
+            n.resources = (lambda values: own(values).over(base)) if callable(own) else (own or Resources()).over(base)
         self.nodes.append(n)
         return n
 
@@ -548,6 +554,21 @@ class Flow:
             lines.append(f"  {', '.join(n.out)} = {n.name}({shown})" + (f"  [{n.spec}]" if n.spec else "") + (f"  {doc}" if doc else ""))
         return "\n".join(lines)
 
+    def documentation(self) -> list[dict[str, Any]]:
+        """One entry for each input and output: its role, type, default, and the line about it in the documentation of a node."""
+        found: dict[str, dict[str, Any]] = {}
+        hints, defaults, makers = {**self.input_hints(), **self.output_hints()}, self.defaults(), self.makers()
+        for n in self.order():
+            text = (getattr(n.body, "__doc__", None) or "").strip()
+            about = {m[1]: m[2] for m in re.finditer(r"^\s*(\w+)\s*(?:\([^)]*\))?\s*:\s*(\S.*)$", text, re.M)}
+            for old, name in zip(n._originals, n.parameters, strict=True):
+                if name not in makers and name not in n.bound:
+                    entry = found.setdefault(name, {"name": name, "role": "input", "type": _type_name(hints.get(name)), "default": defaults.get(name), "text": ""})
+                    entry["text"] = entry["text"] or about.get(old, "")
+            for o in n.out:
+                found[o] = {"name": o, "role": "output", "type": _type_name(hints.get(o)), "default": None, "text": text.split("\n")[0]}
+        return list(found.values())
+
     def dot(self) -> str:
         """The graph in DOT."""
         lines = ["digraph flow {", "  rankdir=LR;"]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import threading
+import time
 import uuid
 from collections.abc import Callable, Iterable, Mapping
 from concurrent.futures import Future, ThreadPoolExecutor
@@ -12,13 +14,17 @@ from typing import Any
 import numpy as np
 from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from axisloom.functions.node import Node
+from axisloom.functions.node import OPAQUE, Node
+from axisloom.operators.compile import _cells as cells_of
 from axisloom.operators.compile import compile_node
+from axisloom.operators.dataset import Dataset, dataset
 from axisloom.operators.frame import AxisFrame
 from axisloom.operators.table import assemble, cast
 from axisloom.plans.flow import Flow
 from axisloom.sources.store import RunFolder
+from axisloom.sources.tables import ByReference
 
 
 @dataclass
@@ -30,6 +36,7 @@ class Results:
     outputs: list[str]
     run: RunFolder | None = None
     cached: list[DataFrame] = field(default_factory=list)
+    measured: dict[str, tuple[float, int]] = field(default_factory=dict)
 
     def __getitem__(self, name: str) -> AxisFrame:
         return self.frames[name]
@@ -46,10 +53,19 @@ class Results:
         """One labelled table of some outputs, by default of all."""
         return assemble(self.frames, outputs or self.outputs, self.flow.specs(), keep_axes)
 
+    def to_dataset(self, *outputs: str) -> Dataset:
+        """Some outputs, by default all, and the inputs that label them as labelled dense arrays on the driver."""
+        return dataset(self.frames, outputs or self.outputs, self.flow.specs())
+
+    def profile(self) -> DataFrame:
+        """Seconds and cells of each output that was measured (``measure=True``), in order."""
+        rows = [(o, *self.measured[o]) for o in self.outputs if o in self.measured]
+        return next(iter(self.frames.values())).df.sparkSession.createDataFrame(rows, "output string, seconds double, cells bigint")
+
     def cast(self, types: Mapping[str, str], warn: bool = True) -> Results:
         """Outputs with their values cast."""
         frames = {k: cast(f, types[k], warn) if k in types else f for k, f in self.frames.items()}
-        return Results(self.flow, frames, self.outputs, self.run, self.cached)
+        return Results(self.flow, frames, self.outputs, self.run, self.cached, self.measured)
 
     def unpersist(self) -> None:
         """Let go of what was kept for several readers."""
@@ -97,7 +113,12 @@ def input_frames(spark: SparkSession, flow: Flow, inputs: Mapping[str, Any]) ->
     for name, v in inputs.items():
         if isinstance(v, AxisFrame):
             out[name] = v if v.name == name else v.rename(name)
-        elif name in axes:
+        elif name in axes or isinstance(v, ByReference):
+            if isinstance(v, ByReference):
+                v = v.load(spark)
+            if name not in axes:
+                out[name] = v
+                continue
             named = tuple(a or f"{name}_{k}" for k, a in enumerate(axes[name]))
             out[name] = AxisFrame.from_table(v, name, named) if isinstance(v, DataFrame) else AxisFrame.from_values(spark, name, named, v)
         else:
@@ -119,6 +140,8 @@ def run_map(
     validation: str = "auto",
     cut: bool = False,
     check: bool = True,
+    chunk: int | Callable[[int], int] | None = None,
+    measure: bool = False,
     hook: Callable[[Node, dict[str, AxisFrame]], None] | None = None,
 ) -> Results:
     """Compile a flow over arrays.
@@ -127,6 +150,8 @@ def run_map(
     read. With it every node is written as Parquet, and ``resume`` computes only cells that are
     not there yet. ``outputs`` prunes the flow, ``cut`` lets inputs stand for intermediates,
     ``fixed`` selects indices, ``storage`` names the storage kind of all or of each output, and ``errors="continue"`` keeps failures of Python bodies as data.
+    ``chunk`` says how many cells a task of an opaque body gets (or computes it from the number of all), where that number
+    is known; else Spark's partitions stay. ``measure`` times each node by a job of its own.
     """
     if errors not in ("raise", "continue"):
         raise ValueError(f"errors can't be {errors!r}")
@@ -153,10 +178,14 @@ def run_map(
         for p in n.free:
             takers[p] = takers.get(p, 0) + 1
     cached: list[DataFrame] = []
+    measured: dict[str, tuple[float, int]] = {}
     for n in flow.order():
         args = {p: selected[p] if p in selected else n.defaults[p] for p in n.free if p in selected or p in n.defaults}
         if run is not None and resume:
             args = run.only_missing(n, args)
+        if chunk is not None and n.kind in OPAQUE:
+            args = dealt(args, chunk)
+        began = time.perf_counter()
         made = compile_node(spark, n, args, keep_errors=errors == "continue", check=check)
         late = {a: k for a, k in fixed.items() if n.spec is not None and a in n.spec.created}
         if late:
@@ -168,11 +197,38 @@ def run_map(
                 df = f.df.persist()
                 cached.append(df)
                 made[o] = f.with_df(df)
+        if measure:
+            counts = {o: f.df.select(F.count(f"`{o}`"), F.count("*")).first()[1] for o, f in made.items()}
+            took = time.perf_counter() - began
+            measured |= {o: (took, c) for o, c in counts.items()}
         if hook is not None:
             hook(n, made)
         selected |= made
     frames = {k: v if isinstance(v, AxisFrame) else AxisFrame.from_scalar(spark, k, v) for k, v in selected.items() if isinstance(v, AxisFrame) or isinstance(v, (int, float, str, bool)) or isinstance(v, np.generic)}
-    return Results(flow, frames, [o for n in flow.order() for o in n.out], run, cached)
+    return Results(flow, frames, [o for n in flow.order() for o in n.out], run, cached, measured)
+
+
+def slots(spark: SparkSession) -> int:
+    """How many tasks run at a time."""
+    return spark.sparkContext.defaultParallelism
+
+
+def chunk_size(cells: int, at_once: int, waves: int = 8) -> int:
+    """Cells for a task, so that each slot gets about so many tasks and none is left with a long one at the end."""
+    return max(1, math.ceil(cells / (at_once * waves)))
+
+
+def dealt(args: Mapping[str, Any], chunk: int | Callable[[int], int]) -> dict[str, Any]:
+    """Arguments with the largest frame of known size dealt over tasks of about ``chunk`` cells."""
+    known = {p: cells for p, v in args.items() if isinstance(v, AxisFrame) and v.axes and not v.sparse and (cells := cells_of(v)) is not None}
+    if not known:
+        return dict(args)
+    p = max(known, key=lambda k: known[k])
+    size = chunk(known[p]) if callable(chunk) else chunk
+    if size < 1:
+        raise ValueError(f"a task can't get {size} cells")
+    f = args[p]
+    return {**args, p: f.with_df(f.df.repartition(max(1, math.ceil(known[p] / size)), *[f"`{a}`" for a in f.axes]))}
 
 
 class AsyncRun:

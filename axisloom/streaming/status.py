@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
+import threading
 import time
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from typing import Any
 
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,6 +93,29 @@ def _notes(run: RunFolder) -> list[str]:
     return sorted(n for n in run._list(run.path) if n.startswith("heartbeat-") and n.endswith(".json"))
 
 
+class Heartbeat:
+    """Notes the progress of a run every so often while a block runs, and once at its end."""
+
+    def __init__(self, spark: SparkSession, folder: str, progress: Callable[[], Mapping[str, Any]], every: float = 10.0) -> None:
+        self.spark, self.folder, self.progress, self.every = spark, folder, progress, every
+        self._over = threading.Event()
+        self._thread = InheritableThread(target=self._beat, session=spark)
+        self._thread.daemon = True
+
+    def _beat(self) -> None:
+        while not self._over.wait(self.every):
+            write_heartbeat(self.spark, self.folder, self.progress())
+
+    def __enter__(self) -> Heartbeat:
+        self._thread.start()
+        return self
+
+    def __exit__(self, *_: Any) -> None:
+        self._over.set()
+        self._thread.join()
+        write_heartbeat(self.spark, self.folder, self.progress())
+
+
 def read_heartbeat(spark: SparkSession, folder: str, now: float | None = None) -> dict[str, Any] | None:
     """The last note, its age, and whether it is stale."""
     run = RunFolder(spark, folder)

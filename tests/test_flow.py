@@ -5,6 +5,7 @@ import pytest
 
 from axisloom.functions import cache as C
 from axisloom.functions.node import Node, Resources, attribute, chain, gather, nest, node
+from axisloom.functions.testing import replaced
 from axisloom.plans.flow import Flow, UnusedInputs, VariantFlow
 from axisloom.plans.types import Array, compatible, same
 from axisloom.sources.sweep import Sweep, fixed_points, sweep_inputs
@@ -236,3 +237,34 @@ def test_resources():
         Resources(cpus=0)
     with pytest.raises(ValueError):
         Resources(memory="lots")
+
+
+def test_replaced_bodies():
+    flow = parcels()
+    with replaced(flow, "volume", return_value=100) as mock:
+        assert flow("weight", **BOX) == 200
+    mock.assert_called_once_with(**BOX)
+    assert flow("weight", **BOX) == 48
+    with replaced(flow, "volume", lambda **_: 7):
+        assert flow("weight", **BOX) == 14
+
+
+def test_resources_of_arguments():
+    by_size = Node(lambda n: n, "y", resources=lambda values: Resources(cpus=values["n"]))
+    flow = Flow([by_size], resources=Resources(memory="2GB"))
+    assert flow["y"].needs({"n": 4}) == Resources(cpus=4, memory="2GB")
+    fused = nest([by_size, Node(lambda y: y, "z", resources=Resources(cpus=2))], "z")
+    assert fused.needs({"n": 1}).cpus == 2 and fused.needs({"n": 9}).cpus == 9 and Node(lambda n: n, "y").needs() is None
+
+
+def test_documentation():
+    def area(width: int, height: int = 2) -> int:
+        """The area of a sheet.
+
+        width: of the sheet, in mm
+        """
+        return width * height
+
+    rows = {r["name"]: r for r in Flow([Node(area, "area")]).documentation()}
+    assert rows["width"] == {"name": "width", "role": "input", "type": "int", "default": None, "text": "of the sheet, in mm"}
+    assert rows["height"]["default"] == 2 and rows["area"] == {"name": "area", "role": "output", "type": "int", "default": None, "text": "The area of a sheet."}
