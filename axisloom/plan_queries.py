@@ -198,12 +198,11 @@ def flow_independent_axes(spark: SparkSession, d: str) -> DataFrame:
     return _rows(spark, [(o, _shown(flow.independent_axes(o))) for o in ("m", "low", "made")], "out string, axes string")
 
 
-@query("SELECT * FROM (VALUES (0, 'x[o] -> y[o]'), (1, 'y[o] -> z[o]'), (2, '... -> n[k]')) t(place, notation)")
+@query("SELECT * FROM (VALUES ('x[o] -> y[o]'), ('y[o] -> z[o]'), ('... -> n[k]'), ('n[k] -> m[k]')) t(notation)")
 def flow_specs(spark: SparkSession, d: str) -> DataFrame:
-    """Specs in order of evaluation; one that is missing is inferred from those who read the output."""
+    """Specs of all nodes; one that is missing is inferred from those who read the output."""
     flow = _line().join(Node(lambda: F.array(F.lit(1)), "n", kind="arrays"), Node(lambda n: n, "m", spec="n[k] -> m[k]"))
-    known = [str(s) for s in flow.specs()]
-    return _rows(spark, enumerate([t for t in ("x[o] -> y[o]", "y[o] -> z[o]", "... -> n[k]") if t in known]), "place int, notation string")
+    return _rows(spark, [(str(s),) for s in flow.specs()], "notation string")
 
 
 @query("SELECT k, v FROM (SELECT unnest(range(5)) AS k, unnest(range(10, 15)) AS v)")
