@@ -298,3 +298,66 @@ def test_query_groups_are_bounded():
     for g in set(group):
         assert queries[group == g].sum() <= knn_join.QUERY_BLOCK or (group == g).sum() == 1 or queries[group == g].max() > knn_join.QUERY_BLOCK
     assert parts[7] == 10 and s.slots()[7] == 7
+
+
+def test_knn_join_sends_blocks_to_regions_and_broadcasts_none(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(k, rng.normal(size=8).tolist()) for k in range(2000)], "vec_id bigint, embedding array<double>")
+    sent = []
+    monkeypatch.setattr(knn_join, "_solved", lambda data, asked, members, k, f=knn_join._solved: sent.append((data, asked, members)) or f(data, asked, members, k))
+    found = knn_join.top_k(df)
+    assert found.count() == 2000
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    ((data, asked, members),) = sent
+    assert data.select("cell").distinct().count() > 30 and len(members) == 1  # one region holds them, and gets each query block once
+    assert [len(r["keys"]) for r in asked.collect()] == [1] * asked.count()
+    assert all(len(r["m"]) == 2 * len(r["ids"]) // 8 * 8 for r in data.collect())  # two bytes a component
+
+
+@pytest.mark.parametrize("case", ["even", "clustered", "large", "repeats"])
+def test_knn_join_over_many_regions(spark, monkeypatch, case):
+    for name, value in (("DATA_BLOCK", 16), ("QUERY_BLOCK", 4), ("REGIONS", 7), ("REGION_BYTES", 1000)):
+        monkeypatch.setattr(knn_join, name, value)
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(11, 6)) * 20
+    rows = [(k, (rng.normal(size=6) * 0.2 + (centres[k % 11] if case == "clustered" else 0)).tolist()) for k in range(400)]
+    if case == "large":  # one, two, four and eight bytes a component, and scores beyond single precision
+        rows = [(k, [x * 10.0 ** (k % 5 * 2) for x in v]) for k, v in rows]
+    if case == "repeats":
+        rows += [(k, rng.normal(size=6).tolist()) for k in range(0, 400, 5)] + [(k, [0.25] * 6) for k in range(300, 500)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(5)
+    needs = []
+    monkeypatch.setattr(knn_join, "_solved", lambda data, asked, members, k, f=knn_join._solved: needs.append((len(members), asked.select("keys.needs").collect())) or f(data, asked, members, k))
+    got = collections.defaultdict(list)
+    for r in knn_join.top_k(df).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    assert got == expected(rows)
+    ((regions, asked),) = needs
+    assert regions >= 7
+    if case == "clustered":  # some queries need some cells of a region only
+        assert any(n is not None for r in asked for n in r["needs"])
+
+
+def test_regions_are_bounded():
+    rng = np.random.default_rng(7)
+    rows = rng.integers(0, 3000, 200)
+    rows[9] = 500_000
+    s = knn_join.Summary(rng.normal(size=(200, 3)), rows, rows // 20, np.zeros(200), np.zeros(200), np.zeros((200, 0)), 72)
+    held = collections.Counter()
+    for c, found in enumerate(s.regions()):
+        assert len(found) == s.slots()[c]
+        for r in found:
+            held[r] += rows[c] / len(found)
+    assert len(held) <= knn_join.REGIONS and max(held.values()) <= rows.sum() / knn_join.REGIONS + knn_join.DATA_BLOCK * knn_join.SLOT_BLOCKS
+    s.row_bytes = 1 << 15  # wide vectors: as many bytes as a region may hold
+    per = [sum(rows[c] / len(f) for c, f in enumerate(s.regions()) for x in f if x == r) for r in range(30)]
+    assert max(per) * s.row_bytes <= knn_join.REGION_BYTES + knn_join.DATA_BLOCK * s.row_bytes
+
+
+def test_pivots_come_from_a_draw_of_bounded_size(spark, monkeypatch):
+    df = spark.range(0, 40_000, 1, 20).selectExpr("id", "array(cast(id as double)) v")
+    limits = []
+    kind = type(df)
+    monkeypatch.setattr(kind, "limit", lambda self, n, f=kind.limit: limits.append((n, self.count())) or f(self, n))
+    assert len(knn_join._pivots(df, 50, 40_000)) == 50
+    assert limits[0][0] == 100 and limits[0][1] < 400
